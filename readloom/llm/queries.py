@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neighbours, quality, toxicity, warc
+from . import decontaminate, lm, mixing, neighbours, quality, toxicity, urls, warc
 from .store import crc_fold, table
 
 
@@ -45,11 +45,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op9_urls, op10_warc)}
 
 ORACLES = {
     "op10_warc": """
