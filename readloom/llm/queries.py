@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neighbours, quality, toxicity, urls, warc
+from . import decontaminate, lines, lm, mixing, neighbours, quality, toxicity, urls, warc
 from .store import crc_fold, table
 
 
@@ -18,6 +18,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_fold(F.col("doc_id"), 7) == 2
@@ -53,9 +57,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op9_urls, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_line_dedup, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op9_urls, op10_warc)}
 
 ORACLES = {
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, pos - 1 AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS before FROM l),
+win AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.upto >= a.before + 50 GROUP BY a.doc_id, a.pos
+        UNION SELECT a.doc_id, max(b.pos) AS s, a.pos AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.before <= a.upto - 50 GROUP BY a.doc_id, a.pos),
+t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+c AS (SELECT win.*, array_to_string(ls[s + 1:e + 1], chr(10)) AS g FROM win JOIN t USING (doc_id)),
+f AS (SELECT g, min(doc_id * 1000000 + s) AS least FROM c GROUP BY g),
+hit AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM c JOIN f USING (g) WHERE doc_id * 1000000 + s > least),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN hit ON l.doc_id = hit.doc_id AND l.pos = hit.pos WHERE hit.pos IS NULL GROUP BY l.doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
+""",
     "op10_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
