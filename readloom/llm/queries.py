@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, lm, mixing, neighbours, quality, toxicity, urls, warc
+from . import decontaminate, lines, lm, mixing, neardup, neighbours, quality, toxicity, urls, warc
 from .store import crc_fold, table
 
 
@@ -22,6 +22,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("_id").alias("doc_id"), "class_id", "class_size")
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_fold(F.col("doc_id"), 7) == 2
@@ -57,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_line_dedup, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op9_urls, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_line_dedup, op4_near_dedup, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op9_urls, op10_warc)}
 
 ORACLES = {
     "op3_line_dedup": r"""
