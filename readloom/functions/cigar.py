@@ -11,6 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Operations that use up reference and query bases.
 REF_OPS, QUERY_OPS, MATCH_OPS = "MDN=X", "MIS=X", "M=X"
@@ -172,7 +173,7 @@ def left_shift(cigar: str, seq: str) -> str:
     return text([tuple(p) for p in parts])
 
 
-CLIPPED = "struct<cigar:string,pos0:int>"
+CLIPPED = T.StructType([T.StructField("cigar", T.StringType()), T.StructField("pos0", T.IntegerType())])
 
 
 @F.arrow_udf(CLIPPED)
@@ -181,7 +182,7 @@ def soft_clip_udf(cigar: pa.Array, pos0: pa.Array, front: pa.Array, back: pa.Arr
     return pa.array([{"cigar": c, "pos0": p} for c, p in rows], pa.struct([("cigar", pa.string()), ("pos0", pa.int32())]))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def left_shift_udf(cigar: pa.Array, seq: pa.Array) -> pa.Array:
     return pa.array([None if c is None else left_shift(c, s or "") if "I" in c or "D" in c else c for c, s in zip(cigar.to_pylist(), seq.to_pylist(), strict=True)], pa.string())
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import flags as fl
 from . import mates
 
-CLIP = "struct<cigar1:string,pos1:int,cigar2:string,pos2:int,loser:int,whole:boolean>"
+CLIP = T.StructType([T.StructField(n, t) for n, t in (("cigar1", T.StringType()), ("pos1", T.IntegerType()), ("cigar2", T.StringType()), ("pos2", T.IntegerType()), ("loser", T.IntegerType()), ("whole", T.BooleanType()))])
 
 
 def query_index(parts: list[tuple[int, str]], offset: int, after: bool) -> int:
