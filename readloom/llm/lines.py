@@ -104,7 +104,8 @@ def drop_copies(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str = "d
     """
     runs = repeated_runs(docs, min_words=min_words, doc_id=doc_id, text=text)
     cuts = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts"))
-    keyed = _doc_keys(docs, doc_id, text).join(cuts, DOC, "left")
+    # The cuts grow with the documents, so they are never broadcast: the plan is the same at every size.
+    keyed = _doc_keys(docs, doc_id, text).join(cuts.hint("merge"), DOC, "left")
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     removed = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda n, c: n + c["e"] - c["s"] + 1), F.lit(0))
     start = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at("_cuts", i)["e"] + 1)
