@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +78,6 @@ def filter_mismatches(reads: DataFrame, ref: DataFrame, *, threshold: float = 0.
     ``ref``: ref_id, bases (the whole sequence). References are few and joined by id; only the stretch that a read covers
     goes to the Arrow function.
     """
-    import pandas as pd
-
     @F.pandas_udf("front int, back int, loss int")
     def judge(c: pd.Series, s: pd.Series, r: pd.Series, q: pd.Series) -> pd.DataFrame:
         rows = []

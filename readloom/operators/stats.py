@@ -23,7 +23,7 @@ def basic(reads: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_reads"), _n(mapped).alias("mapped_reads"), _n(fl.has(f, fl.PAIRED)).alias("paired_reads"), _n(fl.has_all(f, fl.PAIRED | fl.PROPER)).alias("proper_pairs"),
         _n(fl.has(f, fl.DUPLICATE)).alias("duplicate_reads"), _n(fl.has(f, fl.QC_FAIL)).alias("qc_fail_reads"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("total_bases"), F.coalesce(F.sum(F.when(mapped, length)), F.lit(0)).cast("long").alias("bases_in_mapped"),
     )
-    rate = lambda c: F.round(100.0 * F.col(c) / F.col("total_reads"), 2)
+    rate = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.col("total_reads")), 2)
     return sums.select("*", rate("mapped_reads").alias("mapping_rate"), rate("proper_pairs").alias("proper_rate"), rate("duplicate_reads").alias("duplicate_rate"), rate("qc_fail_reads").alias("qc_fail_rate"))
 
 
