@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import store, words
 
 #: Bytes of benchmark text that one pass holds in every executor; a larger benchmark is searched in several passes.
 BLOCK_BYTES = 16 << 20
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: A hit mark of a pass: word positions [begin, end) of a document.
 SPAN = "array<struct<s:int,e:int>>"
 
@@ -180,26 +181,30 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
     yield rows
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_items: int = 2, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
     """Mark documents that hold benchmark text.
 
     Method: each task sorts the suffixes of its documents' words into a suffix array (a shard) and finds every benchmark
     suffix's first ``width`` words in it by binary search; the matching range gives the places of the verbatim matches, and
     overlapping windows join to the longest ones. Nothing is shuffled for a benchmark of up to BLOCK_BYTES.
 
-    Returns every column of ``docs`` but the text, and: n_words, n_hit, n_items, items_sha256, contaminated.
+    Returns every column of ``docs`` but the text (that too with ``keep_text``), and: n_words, n_hit, n_items, items_sha256,
+    contaminated; columns of these names give way.
     Null and empty texts have no words; null items and items without words match nothing; a null item id isn't counted in
     n_items (its windows still count as hits); ids that repeat count once; repeated documents are each marked.
     """
-    passing = [c for c in docs.columns if c != text]
-    blocks = _blocks(benchmark, item_id, text)
+    docs, names = store.packed(docs, *RESULTS)
+    text = f"p{names.index(text)}"
+    passing = [c for c in docs.columns if c != text or keep_text]
+    shown = [c for i, c in enumerate(names) if f"p{i}" in passing]
+    blocks = _blocks(benchmark, item_id, item_text)
     block, after = next(blocks), next(blocks, None)
     if after is None:
         out = hits(docs, Suffixes(block, width), text, passing, False).withColumn("_items", F.array_sort("_items"))
     else:
         out = _several(docs, [block, after], blocks, width, text, passing)
     return out.select(
-        *[F.col(f"`{c}`") for c in passing],
+        *[F.col(p).alias(c) for p, c in zip(passing, shown, strict=True)],
         F.col("_w").alias("n_words"),
         F.col("_h").alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
@@ -224,5 +229,7 @@ def _several(docs: DataFrame, held: list, more, width: int, text: str, passing:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that ``find_leaks`` marks as contaminated, in their own columns."""
-    marked = find_leaks(docs.withColumn("_kept_text", F.col("text")), benchmark, **options)
-    return marked.filter(~F.col("contaminated")).withColumnRenamed("_kept_text", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs, names = store.packed(docs)
+    text = f"p{names.index(options.pop('text', 'text'))}"
+    marked = find_leaks(docs, benchmark, text=text, keep_text=True, **options)
+    return marked.filter(~F.col("contaminated")).select(*store.unpacked(names))

@@ -96,12 +96,14 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str =
 
 
 def drop_copies(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines of copied runs deleted, in its own columns, and n_lines, n_removed (lines).
+    """``docs`` with the lines of copied runs deleted, in its own columns, and n_lines, n_removed (lines; columns of these names give way).
 
     The earliest copy of a run (by id, nulls last, then text, then line) stays. A null text has no lines and stays null; an
     empty one has one line. Rows with equal id and text count as one document and are treated alike. A text whose lines are
     all copies becomes empty. Text of runs shorter than ``min_words`` words isn't touched.
     """
+    docs, names = store.packed(docs, "n_lines", "n_removed")
+    doc_id, text = (f"p{names.index(c)}" for c in (doc_id, text))
     runs = repeated_runs(docs, min_words=min_words, doc_id=doc_id, text=text)
     cuts = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts"))
     # The cuts grow with the documents, so they are never broadcast: the plan is the same at every size.
@@ -112,5 +114,5 @@ def drop_copies(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str = "d
     stop = lambda i: F.when(i == F.size("_cuts"), F.size("_lines")).otherwise(F.try_element_at("_cuts", i + 1)["s"])
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.slice(F.col("_lines"), start(i) + 1, F.greatest(stop(i) - start(i), F.lit(0)))))
     out = keyed.withColumn("_lines", lines).withColumn("_new", F.when(F.col("_cuts").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")))
-    own = [F.col("_new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    own = store.unpacked(names, {names[int(text[1:])]: F.col("_new")})
     return out.select(*own, F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

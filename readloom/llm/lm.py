@@ -243,7 +243,12 @@ def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     table = store.keep(count(docs, text), "lm-counts")
     cluster = F.shiftrightunsigned("token", 56).cast("int")
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = table.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
+    # The least count of the tokens that everyone knows, from the numbers of tokens by count: no task orders all tokens.
+    by_count = table.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(KNOWN + 1).collect()
+    upto = np.cumsum([r.n for r in by_count] or [0])
+    fit_in = int((upto <= KNOWN).sum()) if by_count else 0
+    least = by_count[fit_in - 1].c if fit_in else (1 << 62)
+    known = table.filter(F.col("c") >= least).toArrow()
     h, c = known["token"].to_numpy().view(np.uint64), known["c"].to_numpy()
     model = Model(h, c, total, distinct, np.zeros(0))
     n = len(model.head)
@@ -258,7 +263,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     model.mass = np.concatenate([own, sums])
     model.unigram = np.maximum(model.mass, 1e-3)
     model.b = np.log(model.unigram / model.unigram.sum()).astype(np.float32)
-    warm = docs.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_h")).filter("_text is not null").orderBy("_h").limit(WARM_DOCS)
+    warm = store.smallest(docs.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_h")).filter("_text is not null"), "_h", WARM_DOCS)
 
     def classes(batches):
         m = shared.value

@@ -168,14 +168,17 @@ def _repair(placed: DataFrame, cap: int) -> DataFrame | None:
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with copy_no (from 1), size, source_size, target, copies, taken.
 
-    Documents of which no copy is taken are left out. Rows are matched by id and size; where several rows share both, the
+    Columns of those names give way. Documents of which no copy is taken are left out. Rows are matched by id and size; where several rows share both, the
     copies of all of them are dealt in order.
     """
-    plan = mix(docs, **options)
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull(), F.col("doc_id").isNull(), F.col("size")]
+    given = {k: options.pop(k, k) for k in ("doc_id", "text", "source")}
+    docs, names = store.packed(docs, "size", "source_size", "target", "copies", "taken", "copy_no")
+    at = {k: f"p{names.index(c)}" for k, c in given.items()}
+    plan = mix(docs, **at, **options)
+    size = F.coalesce(F.regexp_count(F.col(at["text"]), F.lit(WORD)), F.lit(0)).cast("long")
+    key = lambda i, s: F.sha2(F.to_json(F.struct(F.coalesce(F.col(i).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(s), F.lit("")).alias("s"), F.col(s).isNull().alias("n"), F.col(i).isNull().alias("m"), F.col("size"))), 256)
     own = Window.partitionBy("_key")
-    left = docs.withColumn("size", size).withColumn("_key", F.sha2(F.to_json(F.struct(*key)), 256)).withColumn("_turn", F.row_number().over(own.orderBy(F.xxhash64("text"))))
-    right = plan.withColumn("_key", F.sha2(F.to_json(F.struct(*key)), 256)).withColumn("_turn", F.row_number().over(own.orderBy("copies")))
+    left = docs.withColumn("size", size).withColumn("_key", key(at["doc_id"], at["source"])).withColumn("_turn", F.row_number().over(own.orderBy(F.xxhash64(at["text"]))))
+    right = plan.withColumn("_key", key("doc_id", "source")).withColumn("_turn", F.row_number().over(own.orderBy("copies")))
     joined = left.join(right.filter("copies > 0").select("_key", "_turn", "source_size", "target", "copies", "taken"), ["_key", "_turn"])
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "copies", "taken", "copy_no")
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*store.unpacked(names), "size", "source_size", "target", "copies", "taken", "copy_no")

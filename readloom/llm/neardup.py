@@ -212,15 +212,20 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, weights: str = "pr
 
 def drop_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id. Documents without words all stay."""
-    own = docs.columns
+    docs, names = store.packed(docs)
+    doc_id, text = (f"p{names.index(c)}" for c in (doc_id, text))
     found = classes(docs, doc_id=doc_id, text=text, **options)
     keyed = _keyed(docs, text).withColumn("_id", F.col(f"`{doc_id}`").cast("long"))
     same = lambda other: F.col("_id").eqNullSafe(other["_k"]) & (F.col("_h1") == other["_k1"]) & (F.col("_h2") == other["_k2"])
     renamed = lambda df: df.select(F.col("_id").alias("_k"), F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"))
     gone = renamed(found.filter("not first"))
     again = renamed(found.filter("first and not alone").groupBy("_id", *TEXT).count().filter("count > 1"))
-    once = keyed.join(gone, same(gone), "left_anti")
+    # What goes grows with the documents, so it is never broadcast: the plan is the same at every size.
+    once = keyed.join(gone.hint("merge"), same(gone), "left_anti")
     # A row that is there twice, with its id and text, stays once.
+    if not again.limit(1).count():
+        return once.select(*store.unpacked(names))
+    again = store.keep(again, "repeated-rows")
     plain = once.join(again, same(again), "left_anti")
     repeated = once.join(again, same(again), "left_semi").dropDuplicates(["_id", *TEXT])
-    return plain.unionByName(repeated).select(*[F.col(f"`{c}`") for c in own])
+    return plain.unionByName(repeated).select(*store.unpacked(names))

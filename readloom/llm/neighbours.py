@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
     dim = sizes.d
     rows = valid(vectors).filter(F.size("v") == dim)
     asked = valid(queries).filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    some = rows.withColumn("h", F.xxhash64("v", "id")).orderBy("h", "id").limit(SAMPLE).select("v").toArrow()
+    some = store.smallest(rows.withColumn("h", F.xxhash64("v", "id")), "h", SAMPLE, "id").select("v").toArrow()
     router = learn(_unit(_rows(some["v"], dim)))
     shared = spark.sparkContext.broadcast(router)
 

@@ -141,7 +141,7 @@ def sample_ids(labels: DataFrame, label: str, rows: int, folds: int = 5) -> Data
     """
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (store.crc_fold(F.col("doc_id"), folds) != 0))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).withColumn("_h", F.xxhash64("doc_id"))
-    of = lambda k: own.filter(F.col("_label") == k).orderBy("_h", "doc_id").limit(rows)
+    of = lambda k: store.smallest(own.filter(F.col("_label") == k), "_h", rows, "doc_id")
     return of(0).unionByName(of(1)).select("doc_id", "_label")
 
 
@@ -171,9 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int
 
 
 def score(docs: DataFrame, model: Machine | float, *, threshold: float = 0.3, metadata: tuple[str, ...] = ("n_chars",), text: str = "text") -> DataFrame:
-    """Every column of ``docs``, and score (0 to 1) and predicted (1 from ``threshold`` on) of its whole text; null counts as empty."""
+    """Every column of ``docs`` (but those named like the results), and score (0 to 1) and predicted (1 from ``threshold`` on) of its whole text; null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (SLOTS + META_SLOTS * columns) * (RANK + 1) floats
-    passing = docs.schema
+    own, shown = store.packed(docs, "score", "predicted")
+    place = {c: f"p{i}" for i, c in enumerate(shown)}
+    passing = own.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passing) + ", score double, predicted int"
     names = [f"_m{i}" for i in range(len(metadata))]
 
@@ -183,8 +185,8 @@ def score(docs: DataFrame, model: Machine | float, *, threshold: float = 0.3, me
             get = lambda n, b=b: b.column(b.schema.get_field_index(n))
             p = np.full(b.num_rows, model) if isinstance(model, float) else model.probability(*features(get("_text"), [get(n) for n in names]))
             p = np.clip(np.nan_to_num(p.astype(float), nan=0.5), 0, 1)
-            own = [b.column(i) for i in range(len(passing))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*passing.names, "score", "predicted"])
+            kept = [b.column(i) for i in range(len(passing))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*passing.names, "score", "predicted"])
 
-    extra = [F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(metadata, names, strict=True)]]
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *extra).mapInArrow(run, ddl)
+    extra = [F.col(place[text]).alias("_text"), *[F.col(place[c]).cast("double").alias(n) for c, n in zip(metadata, names, strict=True)]]
+    return own.select("*", *extra).mapInArrow(run, ddl).select(*store.unpacked(shown), "score", "predicted")

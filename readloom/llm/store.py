@@ -46,6 +46,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, *taken: str) -> tuple[DataFrame, list[str]]:
+    """``df`` under the column names p0, p1, ..., which no operator uses for itself, and its own names.
+
+    Columns named like one in ``taken`` (the operator's results, in any case) give way to that.
+    """
+    used = {t.lower() for t in taken}
+    names = [c for c in df.columns if c.lower() not in used]
+    return df.select(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(names)]), names
+
+
+def unpacked(names: list[str], but: dict | None = None) -> list:
+    """The columns that ``packed`` renamed, under their own names, or others in place of some."""
+    return [((but or {}).get(c, F.col(f"p{i}"))).alias(c) for i, c in enumerate(names)]
+
+
+def smallest(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
+    """Up to ``n`` rows with the least values of the hash ``key`` (64 bits, signed).
+
+    Of many rows only those in the low end of the hash's range, about twice ``n``, are ordered, so what meets in one task
+    doesn't grow with the rows or their partitions.
+    """
+    rows = df.count()
+    if rows > 4 * n:
+        bound = -(1 << 63) + int((1 << 64) * (2 * n + 50) / rows)
+        df = df.filter(F.col(key) <= F.lit(min(bound, (1 << 63) - 1)))
+    return df.orderBy(key, *ties).limit(n)
+
+
 def crc_fold(doc_id, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % folds

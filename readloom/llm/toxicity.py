@@ -169,15 +169,17 @@ def _summaries(docs: DataFrame, model: Model, passing: list[str]) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model | float, *, threshold: float = 0.5, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` (the text only with ``keep_text``), score (0 to 1) and predicted (1 from ``threshold`` on).
+    """The columns of ``docs`` (the text only with ``keep_text``, none named like the results), score (0 to 1) and predicted (1 from ``threshold`` on).
 
     The whole text is scored in windows; a null or empty one has none, and so gets the score of a text without toxic windows.
     """
+    docs, names = store.packed(docs, "score", "predicted")
+    text = f"p{names.index(text)}"
     passing = [c for c in docs.columns if keep_text or c != text]
+    shown = [F.col(f"p{i}").alias(c) for i, c in enumerate(names) if f"p{i}" in passing]
     if isinstance(model, float):
-        scored = docs.select(*[F.col(f"`{c}`") for c in passing]).withColumn("score", F.lit(model))
-        return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    given = docs.select(*[F.col(f"`{c}`") for c in passing], F.col(f"`{text}`").cast("binary").alias("_text"))
+        return docs.select(*shown, F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"))
+    given = docs.select(*passing, F.col(text).cast("binary").alias("_text"))
     z = sum(((F.col("_x")[i] - float(model.mean[i])) * float(model.weights[i] / model.scale[i]) for i in range(9)), F.lit(float(model.bias)))
     scored = _summaries(given, model, passing).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
-    return scored.select(*[F.col(f"`{c}`") for c in passing], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*shown, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
