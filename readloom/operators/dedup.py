@@ -44,12 +44,17 @@ def fragment_duplicates(keys: DataFrame) -> DataFrame:
 
 
 def pair_duplicates(keys: DataFrame) -> DataFrame:
-    """rec_idx of both reads of each pair but the best of its two keys: the highest quality sum, the earlier if equal."""
+    """rec_idx of both reads of each pair but the best of its two keys: the highest quality sum.
+
+    If equal, the pair whose leftmost read (by reference and 5' coordinate, else the earlier) is the earliest.
+    """
     pairs = mates.by_coordinate(keys.filter("paired"), ["key", "sumq"])
-    pairs = pairs.select("rec_idx1", "rec_idx2", F.least("key1", "key2").alias("k1"), F.greatest("key1", "key2").alias("k2"), (F.col("sumq1") + F.col("sumq2")).alias("sumq"))
+    at = lambda k: F.struct(F.col(f"{k}.ref_id").alias("r"), F.col(f"{k}.c5").alias("c"))
+    left = F.when(at("key1") < at("key2"), F.col("rec_idx1")).when(at("key2") < at("key1"), F.col("rec_idx2")).otherwise(F.col("rec_idx1"))
+    pairs = pairs.select(left.alias("left"), "rec_idx1", "rec_idx2", F.least("key1", "key2").alias("k1"), F.greatest("key1", "key2").alias("k2"), (F.col("sumq1") + F.col("sumq2")).alias("sumq"))
     # The best is aggregated before the shuffle, so a deep pile of copies doesn't gather in one task.
-    best = pairs.groupBy("k1", "k2").agg(F.max(F.struct(F.col("sumq"), (-F.col("rec_idx1")).alias("i"))).alias("best"))
-    worse = pairs.join(best, ["k1", "k2"]).filter(F.col("best.i") != -F.col("rec_idx1"))
+    best = pairs.groupBy("k1", "k2").agg(F.max(F.struct(F.col("sumq"), (-F.col("left")).alias("i"))).alias("best"))
+    worse = pairs.join(best, ["k1", "k2"]).filter(F.col("best.i") != -F.col("left"))
     return worse.select(F.explode(F.array("rec_idx1", "rec_idx2")).alias("rec_idx"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import flags as fl
+from ..functions import surgery as sg
 from . import mates
 
 CLIP = T.StructType([T.StructField(n, t) for n, t in (("cigar1", T.StringType()), ("pos1", T.IntegerType()), ("cigar2", T.StringType()), ("pos2", T.IntegerType()), ("loser", T.IntegerType()), ("whole", T.BooleanType()))])
@@ -20,7 +21,7 @@ def query_index(parts: list[tuple[int, str]], offset: int, after: bool) -> int:
     q = r = 0
     last = 0
     for n, o in parts:
-        if o in cg.MATCH_OPS:
+        if o in sg.MATCH_OPS:
             if offset < r + n:
                 return q + max(offset - r, 0) + (1 if after and offset >= r else 0)
             q, r = q + n, r + n
@@ -42,30 +43,27 @@ def mean_code(qual: str, first: int, last: int) -> float:
 def resolve(c1: str, p1: int, q1: str, rev1: bool, c2: str, p2: int, q2: str, rev2: bool) -> tuple[str, int, str, int, int, bool]:
     """New cigars and positions of a pair whose first read starts no later than the second and reaches it.
 
-    The side whose overlap has the lower mean quality (the first, if equal) loses it: the first its tail from the second's
-    start on, the second its head through the first's end. A reverse first read with a forward second one points the wrong
-    way: the loser is clipped whole, and the winner loses what is past the overlap.
+    The side with the lower mean quality (the first, if equal) loses: the first its tail from the second's start on, the
+    second its head through the first's end, which are also what the means are of. A reverse first read with a forward
+    second one points the wrong way: the loser is clipped whole, and the winner loses what is past the overlap.
     """
-    a, b = cg.parse(c1), cg.parse(c2)
-    span = lambda parts: sum(n for n, o in parts if o in cg.REF_OPS)
-    length = lambda parts: sum(n for n, o in parts if o in cg.QUERY_OPS)
+    a, b = sg.parse(c1), sg.parse(c2)
+    span = lambda parts: sum(n for n, o in parts if o in sg.REF_OPS)
+    n1, n2 = (sum(n for n, o in parts if o in sg.QUERY_OPS) for parts in (a, b))
     end1, end2 = p1 + span(a) - 1, p2 + span(b) - 1
-    end = min(end1, end2)
-    s1, e1 = query_index(a, p2 - p1, False), query_index(a, end - p1, True) - 1
-    s2, e2 = query_index(b, 0, False), query_index(b, end - p2, True) - 1
-    first_loses = mean_code(q1, s1, e1) <= mean_code(q2, s2, e2)
-    n1, n2 = length(a), length(b)
+    tail, head = (query_index(a, p2 - p1, False) if p2 > p1 else 0), (query_index(b, end1 - p2, True) if end1 < end2 else n2)
+    first_loses = mean_code(q1, tail, n1 - 1) <= mean_code(q2, 0, head - 1)
     if rev1 and not rev2:
         if first_loses:
-            nc, np_ = cg.soft_clip(c2, p2, 0, n2 - (e2 + 1)) if end2 > end else (c2, p2)
-            return f"{n1}S", p1, nc, np_, 1, True
-        nc, np_ = cg.soft_clip(c1, p1, s1, 0)
-        return nc, np_, f"{n2}S", p2, 2, True
+            nc, np_ = sg.soft_clip(c2, p2, 0, n2 - query_index(b, end1 - p2, True)) if end2 > end1 else (c2, p2)
+            return sg.whole_clip(a), p1, nc, np_, 1, True
+        nc, np_ = sg.soft_clip(c1, p1, tail, 0) if p2 > p1 else (c1, p1)
+        return nc, np_, sg.whole_clip(b), p2, 2, True
     if first_loses:
-        nc, np_ = cg.soft_clip(c1, p1, 0, n1 - s1)
-        return nc, np_, c2, p2, 1, False
-    nc, np_ = cg.soft_clip(c2, p2, query_index(b, end1 - p2, True), 0)
-    return c1, p1, nc, np_, 2, False
+        nc, np_ = sg.soft_clip(c1, p1, 0, n1 - tail) if p2 > p1 else (sg.whole_clip(a), p1)
+        return nc, np_, c2, p2, 1, p2 == p1
+    nc, np_ = sg.soft_clip(c2, p2, head, 0)
+    return c1, p1, nc, np_, 2, end1 >= end2
 
 
 @F.arrow_udf(CLIP)
@@ -91,7 +89,7 @@ def pairs(reads: DataFrame, *, by_name: bool = False, excluded: int = mates.OVER
 def clip(reads: DataFrame, *, by_name: bool = False, excluded: int = mates.OVERLAP_EXCLUDED, unmapped: bool = False, store_original: str | None = None) -> DataFrame:
     """``reads`` with the overlap of each pair clipped from one of the two; mate positions follow.
 
-    Reads whose pair doesn't overlap but points the wrong way are clipped whole, with or without the mate at hand. With
+    Reads that point the wrong way and don't overlap their mate (or whose mate isn't there) are clipped whole. With
     ``unmapped`` a read that is clipped whole becomes unmapped, and its mate says so. Row order is the caller's (sort after).
     """
     rev = lambda i: fl.has(F.col(f"flag{i}"), fl.REVERSE)
@@ -100,9 +98,8 @@ def clip(reads: DataFrame, *, by_name: bool = False, excluded: int = mates.OVERL
     side = lambda i: F.struct(F.col(f"rec_idx{i}").alias("rec_idx"), F.col(f"_c.cigar{i}").alias("_cigar"), F.col(f"_c.pos{i}").alias("_pos"), F.col(f"_c.pos{3 - i}").alias("_mate"), (F.col("_c.whole") & (F.col("_c.loser") == i)).alias("_gone"), (F.col("_c.whole") & (F.col("_c.loser") == 3 - i)).alias("_mate_gone"))
     new = p.select(F.explode(F.array(side(1), side(2))).alias("x")).select("x.*")
     j = reads.join(new, "rec_idx", "left")
-    wrong = F.col("_cigar").isNull() & (mates.overlap_class(excluded) == "NO_OVERLAP_WRONG_ORIENT")
-    whole = F.concat(F.length("seq").cast("string"), F.lit("S"))
-    cigar = F.when(wrong, whole).otherwise(F.coalesce("_cigar", "cigar"))
+    wrong = F.col("_cigar").isNull() & mates.overlap_class(excluded).isin("NO_OVERLAP_WRONG_ORIENT", "UNKNOWN_OVERLAP_WRONG_ORIENT")
+    cigar = F.when(wrong, cg.whole_clip_column(F.col("cigar"))).otherwise(F.coalesce("_cigar", "cigar"))
     if store_original and "tags" in reads.columns:
         from ..functions import tags as tg
 
@@ -110,7 +107,7 @@ def clip(reads: DataFrame, *, by_name: bool = False, excluded: int = mates.OVERL
     flag = F.col("flag")
     if unmapped:
         gone = F.coalesce(F.col("_gone"), F.lit(False)) | wrong
-        flag = F.when(gone, fl.with_bits(flag, fl.UNMAPPED)).when(F.coalesce(F.col("_mate_gone"), F.lit(False)), fl.with_bits(flag, fl.MATE_UNMAPPED)).otherwise(flag)
+        flag = F.when(gone, fl.with_bits(flag, fl.UNMAPPED)).when(F.coalesce(F.col("_mate_gone"), F.lit(False)), fl.without_bits(fl.with_bits(flag, fl.MATE_UNMAPPED), fl.PROPER)).otherwise(flag)
         cigar = F.when(gone, "*").otherwise(cigar)
     return j.select(*[{"cigar": cigar, "flag": flag, "pos0": F.coalesce("_pos", "pos0"), "mate_pos0": F.coalesce("_mate", "mate_pos0")}.get(c, F.col(c)).alias(c) for c in reads.columns])
 

@@ -14,13 +14,13 @@ COUNTERS = ("total_reads", "dups", "qc_fail", "mapped", "paired", "proper_pair",
 
 
 def cover(reads: DataFrame) -> DataFrame:
-    """A row for each reference position that a read spans: pos, its quality code there (null at deletions and skips), and flags.
+    """A row for each reference position that a read spans (the first one of a read without a cigar): pos, its quality code there (null at deletions and skips), and flags.
 
     Only what the counters need goes through the explode.
     """
-    r = reads.filter(F.col("ref_id") >= 0).select("ref_id", "pos0", "flag", "mapq", cg.ref_offsets(F.col("cigar")).alias("_off"), cg.ref_span(F.col("cigar")).alias("_span"), "qual")
+    r = reads.filter(F.col("ref_id") >= 0).select("ref_id", "pos0", "flag", "mapq", cg.ref_offsets(F.col("cigar")).alias("_off"), F.when(F.col("cigar") == "*", 1).otherwise(cg.ref_span(F.col("cigar"))).alias("_span"), "qual")
     # Query index by reference offset; -1 where no base is.
-    place = F.transform(F.sequence(F.lit(0), F.col("_span") - 1), lambda o: (F.array_position("_off", o.cast("int")) - 1).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("_span") - 1), lambda o: (F.coalesce(F.array_position("_off", o.cast("int")), F.lit(0)) - 1).cast("int"))
     r = r.filter("_span > 0").select("ref_id", "pos0", "flag", "mapq", "qual", F.posexplode(place).alias("_o", "_q"))
     return r.select("ref_id", (F.col("pos0") + F.col("_o")).alias("pos"), "flag", "mapq", F.when((F.col("_q") >= 0) & (F.col("qual") != "*"), F.ascii(F.substring("qual", F.col("_q") + 1, F.lit(1)))).alias("code"), (F.col("_q") >= 0).alias("has_base"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import flags as fl
+from ..functions import surgery as sg
 from ..functions import tags as tg
 
 REVERSE = lambda: fl.has(F.col("flag"), fl.REVERSE)
@@ -28,7 +29,7 @@ def clip(reads: DataFrame, left: int, right: int, *, ignore_strand: bool = False
     if not ignore_strand:
         l, r = F.when(REVERSE(), right).otherwise(left), F.when(REVERSE(), left).otherwise(right)
     n = F.length("seq")
-    whole = n <= l + r
+    whole = (n <= l + r) & (F.col("seq") != "*")
     done = cg.soft_clip_udf(F.col("cigar"), F.col("pos0"), l.cast("int"), r.cast("int"))
     fits = ~whole & ~fl.has(F.col("flag"), fl.UNMAPPED) & (F.col("cigar") != "*")
     return reads.withColumns({
@@ -85,15 +86,15 @@ def filter_mismatches(reads: DataFrame, ref: DataFrame, *, threshold: float = 0.
             if not ri or ci == "*" or si == "*":
                 rows.append((0, 0, 0))
                 continue
-            front, back = cg.mismatch_clip(ci, si, ri, threshold)
+            front, back = sg.mismatch_clip(ci, si, ri, threshold)
             loss, at, on = 0, 0, 0
-            for n, o in cg.parse(ci):
-                if o in cg.MATCH_OPS:
+            for n, o in sg.parse(ci):
+                if o in sg.MATCH_OPS:
                     for i in range(n):
                         if front <= at + i < len(si) - back and on + i < len(ri) and si[at + i].upper() != ri[on + i].upper():
-                            loss += default_quality if qi == "*" else ord(qi[at + i]) - bs.OFFSET
-                at += n if o in cg.QUERY_OPS else 0
-                on += n if o in cg.REF_OPS else 0
+                            loss += default_quality if qi == "*" else ord(qi[at + i]) - 33
+                at += n if o in sg.QUERY_OPS else 0
+                on += n if o in sg.REF_OPS else 0
             rows.append((front, back, loss))
         return pd.DataFrame(rows, columns=["front", "back", "loss"], dtype="int32")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as bs
@@ -31,6 +31,19 @@ def write_by(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") -> None
     salted.repartition(*keys, "_salt").drop("_salt").write.partitionBy(*keys).mode("overwrite").format(fmt).save(path)
 
 
+def _one_sided(reads: DataFrame) -> DataFrame:
+    """Roles of pairs in which only the earlier record's mate position is the later record's place."""
+    side = lambda t: reads.select(*[F.col(c).alias(f"{c}{t}") for c in ("rec_idx", "read_name", "flag", "ref_id", "pos0", "mate_ref_id", "mate_pos0")])
+    a, b = side("1"), side("2")
+    on = (F.col("read_name1") == F.col("read_name2")) & (F.col("mate_ref_id1") == F.col("ref_id2")) & (F.col("mate_pos01") == F.col("pos02")) & (F.col("rec_idx1") < F.col("rec_idx2"))
+    first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("rec_idx1", "rec_idx2")) == 1
+    p = a.join(b, on).withColumn("_a", first("rec_idx1")).withColumn("_b", first("rec_idx2")).filter("_a and _b")
+    one, two = fl.has(F.col("flag1"), fl.FIRST), fl.has(F.col("flag2"), fl.FIRST)
+    first_is_1 = F.when(one == two, ~one).otherwise(one)
+    role = lambda i, when: F.struct(F.col(f"rec_idx{i}").alias("rec_idx"), F.when(when, "first").otherwise("second").alias("role"))
+    return p.select(F.explode(F.array(role(1, first_is_1), role(2, ~first_is_1))).alias("x")).select("x.*")
+
+
 def fastq(reads: DataFrame, *, by_name: bool = False, first_ext: str = "/1", second_ext: str = "/2", rn_plus: bool = False, reverse_comp: bool = True, excluded: int = 0x900) -> DataFrame:
     """rec_idx, rg (if there), role (first, second, single) and the four-line text of each primary record.
 
@@ -43,6 +56,8 @@ def fastq(reads: DataFrame, *, by_name: bool = False, first_ext: str = "/1", sec
     one, two = fl.has(F.col("flag1"), fl.FIRST), fl.has(F.col("flag2"), fl.FIRST)
     first_is_1 = F.when(one == two, ~one).otherwise(one)
     roles = pairs.select(F.explode(F.array(F.struct(F.col("rec_idx1").alias("rec_idx"), F.when(first_is_1, "first").otherwise("second").alias("role")), F.struct(F.col("rec_idx2").alias("rec_idx"), F.when(first_is_1, "second").otherwise("first").alias("role")))).alias("x")).select("x.*")
+    if not by_name:
+        roles = roles.unionByName(_one_sided(paired.join(roles, "rec_idx", "left_anti")))
     out = own.join(roles, "rec_idx", "left").withColumn("role", F.coalesce("role", F.lit("single")))
     back = fl.has(F.col("flag"), fl.REVERSE) if reverse_comp else F.lit(False)
     seq = F.when(back, bs.reverse_complement(F.col("seq"))).otherwise(F.upper("seq"))

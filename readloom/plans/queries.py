@@ -183,9 +183,9 @@ def clip_ends(spark, d):
 
 DEDUP = f"""e AS (SELECT rec_idx, read_name, ref_id, CASE WHEN flag & 16 > 0 THEN end0 ELSE pos0 - lead END AS c5, flag & 16 > 0 AS rv, rg, {SUMQ} AS q, flag & 8 = 0 AS paired FROM r WHERE flag & 2820 = 0),
 frag AS (SELECT rec_idx FROM (SELECT rec_idx, paired, bool_or(paired) OVER (PARTITION BY ref_id, c5, rv, rg) AS anyp, row_number() OVER (PARTITION BY ref_id, c5, rv, rg, paired ORDER BY q DESC, rec_idx) AS rn FROM e) WHERE NOT paired AND (anyp OR rn > 1)),
-k AS (SELECT rec_idx, read_name, q, {{'a': ref_id, 'b': c5, 'c': rv, 'd': rg}} AS key FROM e WHERE paired),
-pr AS (SELECT a.rec_idx AS i1, b.rec_idx AS i2, a.q + b.q AS q, least(a.key, b.key) AS k1, greatest(a.key, b.key) AS k2 FROM k a JOIN k b ON a.read_name = b.read_name AND a.rec_idx < b.rec_idx),
-prd AS (SELECT i1, i2 FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY q DESC, i1) AS rn FROM pr) WHERE rn > 1),
+k AS (SELECT rec_idx, read_name, q, c5, {{'a': ref_id, 'b': c5, 'c': rv, 'd': rg}} AS key FROM e WHERE paired),
+pr AS (SELECT a.rec_idx AS i1, b.rec_idx AS i2, a.q + b.q AS q, CASE WHEN b.c5 < a.c5 THEN b.rec_idx ELSE a.rec_idx END AS lead_idx, least(a.key, b.key) AS k1, greatest(a.key, b.key) AS k2 FROM k a JOIN k b ON a.read_name = b.read_name AND a.rec_idx < b.rec_idx),
+prd AS (SELECT i1, i2 FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY q DESC, lead_idx) AS rn FROM pr) WHERE rn > 1),
 dups AS (SELECT rec_idx FROM frag UNION ALL SELECT i1 FROM prd UNION ALL SELECT i2 FROM prd)"""
 
 

@@ -58,14 +58,15 @@ def brute_dedup(rows):
             at, to = (r.read_name, r.ref_id, r.pos0, r.mate_ref_id, r.mate_pos0), (r.read_name, r.mate_ref_id, r.mate_pos0, r.ref_id, r.pos0)
             if waiting.get(to):
                 k2, q2, i2 = waiting[to].pop(0)
-                pairs.setdefault(tuple(sorted((key, k2))), []).append((-(q + q2), min(i2, r.rec_idx), max(i2, r.rec_idx)))
+                lead = i2 if k2[:2] < key[:2] else r.rec_idx if key[:2] < k2[:2] else min(i2, r.rec_idx)
+                pairs.setdefault(tuple(sorted((key, k2))), []).append((-(q + q2), lead, min(i2, r.rec_idx), max(i2, r.rec_idx)))
             else:
                 waiting.setdefault(at, []).append((key, q, r.rec_idx))
     for own in fragments.values():
         lone = sorted((-q, i) for p, q, i in own if not p)
         dup |= {i for _, i in (lone if any(p for p, _, _ in own) else lone[1:])}
     for own in pairs.values():
-        dup |= {i for _, a, b in sorted(own)[1:] for i in (a, b)}
+        dup |= {i for *_, a, b in sorted(own)[1:] for i in (a, b)}
     return dup
 
 
@@ -152,6 +153,11 @@ def test_overlap_resolution():
     assert overlap.resolve("10M", 0, "I" * 10, False, "10M", 6, "5" * 10, True) == ("10M", 0, "4S6M", 10, 2, False)
     c1, p1, c2, p2, loser, whole = overlap.resolve("10M", 0, "I" * 10, True, "10M", 6, "5" * 10, False)
     assert (c2, loser, whole) == ("10S", 2, True) and (c1, p1) == ("6S4M", 6)
+    # Complete overlaps: the loser is clipped where it is, between its hard clips.
+    c = "3H3S3M3D3M3I3M3P3M3D3M3S3H"
+    assert overlap.resolve(c, 9, "I" * 24, False, c, 9, "I" * 24, True)[:2] == ("3H24S3H", 9)
+    assert overlap.resolve(c, 9, "I" * 24, False, c, 9, "5" * 24, True)[2:4] == ("3H24S3H", 9)
+    assert overlap.resolve(c, 9, "I" * 24, False, c, 10, "I" * 24, True)[0] == "3H3S1M20S3H"
 
 
 def test_overlap_clip_leaves_none(spark):
