@@ -141,12 +141,12 @@ def _marks(test: Suffixes, h: np.ndarray, first: np.ndarray):
 def hits(docs: DataFrame, block: Suffixes, text: str, passing: list[str], spans: bool) -> DataFrame:
     """One row for each document: ``passing`` columns, n_words, n_hit, items (ids as strings); with ``spans`` also the hit words."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES of text
+    shared = store.share(spark, block)  # bounded by BLOCK_BYTES of text
     kinds = [docs.schema[c] for c in passing]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", _w long, _h long, _items array<string>" + (f", _spans {SPAN}" if spans else "")
 
     def run(batches):
-        test = shared.value
+        test = shared()
         for b in words.sliced(batches, "_text"):
             h, first = words.hashed(b.column(b.schema.get_field_index("_text")), words.ALNUM, words.LOWER)
             hit, _, items, n = _marks(test, h, first)

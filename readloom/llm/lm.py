@@ -183,14 +183,11 @@ class Model:
 def _averaged(docs: DataFrame, model: Model, text: str) -> None:
     """One round of local NCE in every task, over all training texts; the tasks' parameters are averaged by their positions."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = store.share(spark, model)
     shapes = [x.shape for x in (model.v, model.r, model.place)]
 
     def run(batches):
-        m = shared.value
-        import copy
-
-        m = copy.deepcopy(m)
+        m = shared()
         seen, cs, xs = 0, [], []
 
         def learn():
@@ -266,7 +263,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     warm = store.smallest(docs.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_h")).filter("_text is not null"), "_h", WARM_DOCS)
 
     def classes(batches):
-        m = shared.value
+        m = shared()
         for b in words.sliced(batches, "_text"):
             hh, first = tokens(b.column(0))
             # Each text gives at most 400 stretches' worth of class numbers: every k-th run of 64 tokens of a long one.
@@ -276,7 +273,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
             keep = run % np.repeat(np.maximum(1, np.diff(first) // 25600), np.diff(first)) == 0
             yield pa.RecordBatch.from_arrays([pa.array(cc[keep].astype(np.int16)), *[pa.array(x[keep, k].astype(np.int16)) for k in range(CONTEXT)]], names=["c", *[f"x{k}" for k in range(CONTEXT)]])
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = store.share(spark, model)
     got = warm.select("_text").mapInArrow(classes, "c short, " + ", ".join(f"x{k} short" for k in range(CONTEXT))).toArrow()
     if got.num_rows:
         c0 = got["c"].to_numpy().astype(np.int64)
@@ -292,13 +289,13 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, text: str = "text"
     Tokens that executors don't all know are looked up in the count table by a join on the token; its sums go back to the
     texts by their key, the hash of the kept columns and the text. Rows that are the same in both are scored alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # KNOWN * 16 bytes, and the network
+    shared = store.share(docs.sparkSession, model)  # KNOWN * 16 bytes, and the network
     fields = [docs.schema[c] for c in keep]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     log_all = float(np.log10(model.total + model.distinct + 1.0))
 
     def run(batches):
-        m = shared.value
+        m = shared()
         cluster_log = np.log10(np.maximum(m.mass, 1e-300))
         for b in words.sliced(batches, "_text", words.SLICE // 2):
             get = lambda n, b=b: b.column(b.schema.get_field_index(n))

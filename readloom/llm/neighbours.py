@@ -196,14 +196,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
     asked = valid(queries).filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     some = store.smallest(rows.withColumn("h", F.xxhash64("v", "id")), "h", SAMPLE, "id").select("v").toArrow()
     router = learn(_unit(_rows(some["v"], dim)))
-    shared = spark.sparkContext.broadcast(router)
+    shared = store.share(spark, router)
 
     def routed(probes: int | None):
         def run(batches):
+            router = shared()
             for b in batches:
                 if b.num_rows:
                     n = probes or 1
-                    top = shared.value.ranked(_unit(_rows(b.column(1), dim)))[:, :n]
+                    top = router.ranked(_unit(_rows(b.column(1), dim)))[:, :n]
                     take = pa.array(np.repeat(np.arange(b.num_rows), n))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(top.reshape(-1).astype(np.int32))], names=["id", "v", "part"])
 

@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int
 
 def score(docs: DataFrame, model: Machine | float, *, threshold: float = 0.3, metadata: tuple[str, ...] = ("n_chars",), text: str = "text") -> DataFrame:
     """Every column of ``docs`` (but those named like the results), and score (0 to 1) and predicted (1 from ``threshold`` on) of its whole text; null counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # (SLOTS + META_SLOTS * columns) * (RANK + 1) floats
+    shared = store.share(docs.sparkSession, model)  # (SLOTS + META_SLOTS * columns) * (RANK + 1) floats
     own, shown = store.packed(docs, "score", "predicted")
     place = {c: f"p{i}" for i, c in enumerate(shown)}
     passing = own.schema
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Machine | float, *, threshold: float = 0.3, me
     names = [f"_m{i}" for i in range(len(metadata))]
 
     def run(batches):
-        model = shared.value
+        model = shared()
         for b in words.sliced(batches, "_text", 1 << 21):
             get = lambda n, b=b: b.column(b.schema.get_field_index(n))
             p = np.full(b.num_rows, model) if isinstance(model, float) else model.probability(*features(get("_text"), [get(n) for n in names]))

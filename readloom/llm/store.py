@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def drop(spark: SparkSession, *tables) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def share(spark: SparkSession, thing):
+    """A function that gives each task its own copy of ``thing``, which the caller has checked to be of a bounded size.
+
+    It is broadcast as bytes that hold its class too, so executors need no installed copy of this package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(held.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

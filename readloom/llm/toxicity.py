@@ -154,11 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int =
 
 
 def _summaries(docs: DataFrame, model: Model, passing: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a bounded size
+    shared = store.share(docs.sparkSession, model)  # two dictionaries of a bounded size
     fields = [docs.schema[c] for c in passing]
 
     def run(batches):
-        m = shared.value
+        m = shared()
         ordinary, toxic = compressor(m.ordinary), compressor(m.toxic)
         for b in words.sliced(batches, "_text"):
             get = lambda n, b=b: b.column(b.schema.get_field_index(n))
