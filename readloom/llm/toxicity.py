@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -12,8 +14,12 @@ from . import quality, store, words
 
 #: Labelled rows of each class that the fit takes at most.
 FIT_ROWS = 4000
-#: Bytes of a window, and of the dictionary part that both classes share.
-WINDOW, COMMON_BYTES = 24, 8192
+#: Bytes that a window has at least (1: each word is one), and bytes of the dictionary part that both classes share.
+WINDOW, COMMON_BYTES = 1, 8192
+#: Bytes of shared content that are compressed after each window.
+ANCHOR = 48
+#: Windows whose distance a task remembers.
+MEMORY = 200_000
 #: Toxic segments in the toxic dictionary at most, the documents that each must be in, and its least log-likelihood ratio.
 SEGMENTS, MIN_DOCS, MIN_RATIO = 400, 3, 20.0
 #: Windows of ordinary text that the shared dictionary part is trained on, from each document and in all, at most.
@@ -50,18 +56,35 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=content, compression_params=how)
 
 
-def distances(text: bytes, ordinary, toxic) -> np.ndarray:
-    """For each window, the bytes that the toxic dictionary saves over the ordinary one."""
-    a, b = ordinary.compress, toxic.compress
-    return np.array([len(a(w)) - len(b(w)) for w in windows(text)], dtype=float)
+def distances(text: bytes, ordinary, toxic, anchor: bytes, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct window the bytes that the toxic dictionary saves over the ordinary one, and how often it is there.
+
+    Both compress the window with ``anchor`` after it, the end of the content that they share: zstandard stores a few bytes
+    as they are, so without a longer match beside it a short one would save nothing.
+    """
+    d, n = [], []
+    for w, k in Counter(windows(text)).items():
+        v = memory.get(w)
+        if v is None:
+            v = len(ordinary.compress(w + anchor)) - len(toxic.compress(w + anchor))
+            if len(memory) >= MEMORY:
+                memory.clear()
+            memory[w] = v
+        d.append(v)
+        n.append(k)
+    return np.array(d, float), np.array(n, float)
+
+
+def summary(d: np.ndarray, n: np.ndarray) -> list[float]:
+    """FEATURES numbers of a text's windows: the largest distances, and how many reach each length, in all and for each window."""
+    size = max(n.sum(), 1.0)
+    order = np.argsort(-d, kind="stable")[:3]
+    top = np.repeat(d[order], np.minimum(n[order], 3).astype(int))[:3]
+    over = [float(n[d >= t].sum()) for t in (2, 3, 4, 5)]
+    return [top[0] if len(top) else 0.0, top.sum(), (d * n).sum() / size, *np.log1p(over), *[np.log1p(1000 * v / size) for v in over], np.log1p(size)]
 
 
-def summary(d: np.ndarray) -> list[float]:
-    n = max(len(d), 1)
-    top = np.sort(d)[::-1][:3]
-    top = np.concatenate([top, np.zeros(3 - len(top))])
-    over2, over4 = float((d >= 2).sum()), float((d >= 4).sum())
-    return [top[0], top.sum(), d.sum() / n, np.log1p(over2), over2 / n, np.log1p(over4), over4 / n, np.maximum(d - 1, 0).sum() / n, np.log1p(n)]
+FEATURES = 12
 
 
 class Model:
@@ -69,7 +92,7 @@ class Model:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = ordinary, toxic
-        self.mean, self.scale, self.weights, self.bias = np.zeros(9), np.ones(9), np.zeros(9), 0.0
+        self.mean, self.scale, self.weights, self.bias = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
         """Ridge logistic regression by Newton's method."""
@@ -159,10 +182,11 @@ def _summaries(docs: DataFrame, model: Model, passing: list[str]) -> DataFrame:
 
     def run(batches):
         m = shared()
-        ordinary, toxic = compressor(m.ordinary), compressor(m.toxic)
+        ordinary, toxic, memory = compressor(m.ordinary), compressor(m.toxic), {}
+        anchor = m.ordinary[-ANCHOR:]
         for b in words.sliced(batches, "_text"):
             get = lambda n, b=b: b.column(b.schema.get_field_index(n))
-            x = [summary(distances(folded(t.as_py() or b""), ordinary, toxic)) for t in get("_text")]
+            x = [summary(*distances(folded(t.as_py() or b""), ordinary, toxic, anchor, memory)) for t in get("_text")]
             yield pa.RecordBatch.from_arrays([*[get(f.name) for f in fields], pa.array(x, pa.list_(pa.float64()))], names=[*passing, "_x"])
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _x array<double>")
@@ -180,6 +204,6 @@ def score(docs: DataFrame, model: Model | float, *, threshold: float = 0.5, text
     if isinstance(model, float):
         return docs.select(*shown, F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"))
     given = docs.select(*passing, F.col(text).cast("binary").alias("_text"))
-    z = sum(((F.col("_x")[i] - float(model.mean[i])) * float(model.weights[i] / model.scale[i]) for i in range(9)), F.lit(float(model.bias)))
+    z = sum(((F.col("_x")[i] - float(model.mean[i])) * float(model.weights[i] / model.scale[i]) for i in range(FEATURES)), F.lit(float(model.bias)))
     scored = _summaries(given, model, passing).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
     return scored.select(*shown, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
