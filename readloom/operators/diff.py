@@ -47,3 +47,25 @@ def only(left: DataFrame, right: DataFrame, keys: list[Column], order: str) -> D
     """Records of ``left`` without a partner in ``right``."""
     cols = [f"_key{i}" for i in range(len(keys))] + ["_k"]
     return ranked(left, keys, order).join(ranked(right, keys, order).select(*cols), cols, "left_anti").drop(*cols)
+
+
+def tagged(left: DataFrame, right: DataFrame, matched: DataFrame) -> dict[str, DataFrame]:
+    """The three record outputs of a difference: only1, only2, and the changed records of ``left`` with the other side's values.
+
+    ``matched`` has rec1, rec2 and changed. Changed records get the tags ZF (flag), ZP (reference:position), ZC (cigar), ZM
+    (mapping quality), ZN (mate's reference:position), ZI (insert size), ZS (sequence) and ZQ (qualities) of the other record,
+    for the fields that differ.
+    """
+    from ..functions import tags as tg
+
+    one = left.join(matched.filter("rec2 is null").select(F.col("rec1").alias("rec_idx")), "rec_idx", "left_semi")
+    two = right.join(matched.filter("rec1 is null").select(F.col("rec2").alias("rec_idx")), "rec_idx", "left_semi")
+    both = matched.filter("rec1 is not null and rec2 is not null")
+    other = right.select(F.col("rec_idx").alias("rec2"), F.struct(*right.columns).alias("o"))
+    j = left.join(both.withColumnRenamed("rec1", "rec_idx"), "rec_idx").join(other, "rec2")
+    place = lambda r, p: F.concat_ws(":", F.col(f"o.{r}"), (F.col(f"o.{p}") + 1).cast("string"))
+    tags = [("ZF", "i", ["flag"], lambda: F.col("o.flag").cast("string")), ("ZP", "Z", ["ref_id", "pos0"], lambda: place("ref_name", "pos0")), ("ZC", "Z", ["cigar"], lambda: F.col("o.cigar")), ("ZM", "i", ["mapq"], lambda: F.col("o.mapq").cast("string")), ("ZN", "Z", ["mate_ref_id", "mate_pos0"], lambda: place("mate_ref_name", "mate_pos0")), ("ZI", "i", ["insert_size"], lambda: F.col("o.insert_size").cast("string")), ("ZS", "Z", ["seq"], lambda: F.col("o.seq")), ("ZQ", "Z", ["qual"], lambda: F.col("o.qual"))]
+    for name, kind, fields, value in tags:
+        if set(fields) <= set(right.columns):
+            j = j.withColumn("tags", tg.put(F.col("tags"), name, kind, F.when(F.arrays_overlap("changed", F.array(*[F.lit(f) for f in fields])), value())))
+    return {"only1": one, "only2": two, "changed": j.select(*left.columns)}

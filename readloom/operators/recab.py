@@ -126,3 +126,9 @@ def predicted_quality(weights: list[float]) -> Column:
     x = [F.lit(1.0), F.col("qual"), F.col("cycle"), F.col("second").cast("int"), code("prev"), code("cur")]
     p = 1 / (1 + F.exp(-sum((c * float(v) for c, v in zip(x, weights, strict=True)), F.lit(0.0))))
     return F.floor(-10 * F.log10(p) + 0.5).cast("int")
+
+
+def model_lines(fit: dict) -> list[str]:
+    """A regression as text: effect, variance and standard error of each covariate."""
+    names = ("intercept", "quality", "cycle", "second_read", "previous_base", "base")
+    return [f"{n}\t{w:.6g}\t{fit['covariance'][i][i]:.6g}\t{fit['covariance'][i][i] ** 0.5:.6g}" for i, (n, w) in enumerate(zip(names, fit["weights"], strict=True))]
