@@ -64,7 +64,36 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_neighbours, op3_line_dedup, op4_near_dedup, op5_language_model, op6_toxicity, op7_decontamination, op8_quality, op9_urls, op10_warc)}
 
+def _urls_sql() -> str:
+    """The rules, and the rounds of both walks one after another."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')"
+    rules = [(text, what, *text.split("/", 1)) for text, what in sorted(urls.RULES, key=lambda r: -len(r[0]))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[2], r[3])} THEN '{r[k]}'" for r in rules) + " END"
+
+    def walk(name: str, seed: str, src: str, dst: str) -> str:
+        out = [f"{name}s AS (SELECT host AS node, {seed} / (good + bad) AS seed FROM sd WHERE {seed} > 0)", f"{name}l AS (SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM e)", f"{name}0 AS (SELECT node, seed AS rank FROM {name}s)"]
+        for i in range(urls.ROUNDS):
+            out.append(f"{name}{i + 1} AS (SELECT node, sum(rank) AS rank FROM (SELECT dst AS node, rank * share * {urls.DAMPING} AS rank FROM {name}{i} JOIN {name}l ON node = src UNION ALL SELECT node, seed * (1 - {urls.DAMPING}) FROM {name}s) GROUP BY node)")
+        return ",\n".join(out)
+
+    return rf"""
+WITH p AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ru AS (SELECT *, {case(0)} AS rule, {case(1)} AS ruled FROM p),
+ln AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?((?:https?:)?//[^"''\s>]*)', 1)) AS link FROM p WHERE host <> ''),
+up AS (SELECT DISTINCT host, regexp_extract(host, '^[^.]*\.(.*\..*)$', 1) AS parent FROM p WHERE host LIKE '%.%'),
+e AS (SELECT src, dst, CAST(sum(weight) AS DOUBLE) AS weight FROM (
+  SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, 1 AS weight FROM ln
+  UNION ALL SELECT * FROM (SELECT host AS src, parent AS dst, 1 FROM up WHERE parent <> '' UNION SELECT parent, host, 1 FROM up WHERE parent <> '')) WHERE dst <> '' AND dst <> src GROUP BY ALL),
+sd AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad FROM ru WHERE host <> '' AND ruled IS NOT NULL GROUP BY host),
+{walk('t', 'good', 'src', 'dst')},
+{walk('d', 'bad', 'dst', 'src')}
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {urls.RATIO} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ru LEFT JOIN t{urls.ROUNDS} t ON ru.host = t.node LEFT JOIN d{urls.ROUNDS} d ON ru.host = d.node
+"""
+
+
 ORACLES = {
+    "op9_urls": _urls_sql(),
     "op3_line_dedup": r"""
 WITH l AS (SELECT doc_id, pos - 1 AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
