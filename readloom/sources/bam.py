@@ -253,8 +253,10 @@ def read(spark: SparkSession, path: str, *, index: str | None = None, splits: li
     else:
         records = spark.createDataFrame(parts, "a long, b long").repartition(len(parts), "a").mapInPandas(run, COLUMNS)
     table = spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(refs)], "ref_id int, name string, length int")
-    name = lambda c: F.when(F.col(c) < 0, "*").otherwise(F.element_at(F.array(F.lit("*"), *[F.lit(n) for n, _ in refs]), F.greatest(F.col(c), F.lit(-1)) + 2))
-    full = records.withColumns({"ref_name": name("ref_id"), "mate_ref_name": name("mate_ref_id"), "tags": tg.parse(F.split("tag_text", "\t"))}).drop("tag_text")
+    # The dictionary is in the header, which the driver holds already.
+    names_of = lambda a, b: F.broadcast(table.select(F.col("ref_id").alias(a), F.col("name").alias(b)))
+    full = records.join(names_of("ref_id", "ref_name"), "ref_id", "left").join(names_of("mate_ref_id", "mate_ref_name"), "mate_ref_id", "left")
+    full = full.withColumns({"ref_name": F.coalesce("ref_name", F.lit("*")), "mate_ref_name": F.coalesce("mate_ref_name", F.lit("*")), "tags": tg.parse(F.split("tag_text", "\t"))}).drop("tag_text")
     return full, text, table
 
 

@@ -68,9 +68,10 @@ def splitBam(reads: DataFrame, head: DataFrame, out: str) -> None:
     groups = sam.read_groups(head)
     own = reads.withColumn("rg", tg.value(F.col("tags"), "RG"))
     split.write_by(split.check_groups(own, groups), out, "rg")
-    g = groups.select(F.col("id").alias("rg"))
-    lines = head.filter("type not in ('RG', 'PG')").withColumn("_x", F.lit(1)).join(g.withColumn("_x", F.lit(1)), "_x").select("rg", "line_no", "raw")
-    own_lines = head.filter("type in ('RG', 'PG')").select(F.col("id").alias("rg"), "line_no", "raw").join(g, "rg")
+    # A header has few read groups; each line that belongs to none goes to all of them.
+    ids = [r.id for r in groups.select("id").collect()]
+    lines = head.filter("type not in ('RG', 'PG')").select(F.explode(F.array(*[F.lit(i) for i in ids]).cast("array<string>")).alias("rg"), "line_no", "raw")
+    own_lines = head.filter(F.col("type").isin("RG", "PG") & F.col("id").isin(*ids)).select(F.col("id").alias("rg"), "line_no", "raw")
     lines.unionByName(own_lines).write.mode("overwrite").partitionBy("rg").parquet(out.rstrip("/") + "_headers")
 
 
