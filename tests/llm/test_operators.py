@@ -446,6 +446,17 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
     assert decontaminate.find_leaks(d, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_pipeline_drops_one_leaked_item(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    items = [prose(rng, 20), prose(rng, 20)]
+    spark.createDataFrame([(1, items[0]), (None, items[1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, prose(rng, 40), "s") for i in range(3)] + [(10 + k, f"{prose(rng, 9)} {t} {prose(rng, 9)}", "s") for k, t in enumerate(items)]
+    got = corpus_pipeline.drop_leaks(spark, docs(spark, rows), str(tmp_path))
+    assert got.columns == docs(spark, []).columns and sorted(r.doc_id for r in got.collect()) == [0, 1, 2]
+
+
 # 9 urls
 
 
