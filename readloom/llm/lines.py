@@ -46,7 +46,9 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str =
     held.append(names)
     of_doc = Window.partitionBy(*DOC).orderBy("pos")
     stretch = Window.partitionBy(*DOC, "seg")
-    u = lines.join(names, ["h1", "h2"]).select(*DOC, "pos", "words", "r0").withColumn("seg", F.col("pos") - F.row_number().over(of_doc))
+    # Rows with equal id and text are one document: each of its lines stays once. The windows use the same partitions.
+    once = lines.join(names, ["h1", "h2"]).select(*DOC, "pos", "words", "r0").repartition(*DOC).distinct()
+    u = once.withColumn("seg", F.col("pos") - F.row_number().over(of_doc))
     u = u.withColumn("all", F.sum("words").over(stretch)).filter(F.col("all") >= min_words).drop("all")
     u = store.keep(u, "stretches")
     held.append(u)

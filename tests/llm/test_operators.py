@@ -185,6 +185,19 @@ def test_lines_odd_rows(spark):
     assert lines.drop_copies(d.withColumns({"N_LINES": F.lit("x"), "_cuts": F.lit(1), "_d": F.lit(2)})).columns == [*d.columns, "_cuts", "_d", "n_lines", "n_removed"]
 
 
+@pytest.mark.parametrize("first", [1, None])
+def test_lines_of_repeated_rows(spark, first):
+    rng = random.Random(16)
+    passage, alone = [prose(rng, 20) for _ in range(5)], "\n".join(prose(rng, 20) for _ in range(5))
+    shared = lambda: "\n".join([prose(rng, 9), *passage, prose(rng, 9)])
+    early, late = shared(), shared()
+    got = lines.drop_copies(docs(spark, [(first, early, "s")] * 2 + [(2, late, "s")] * 3 + [(3, alone, "s")] * 2)).collect()
+    kept, cut = [(2, late), (first, early)][:: 1 if first is None else -1]
+    bare = cut[1].split("\n")
+    want = {kept: 0, (cut[0], f"{bare[0]}\n{bare[-1]}"): 5, (3, alone): 0}
+    assert {(r.doc_id, r.text): r.n_removed for r in got} == want and len(got) == 7
+
+
 def test_lines_run_without_python(spark):
     got = lines.drop_copies(docs(spark, odd_rows()))
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
