@@ -18,8 +18,8 @@ DIM, CONTEXT = 24, 3
 KNOWN = 1 << 17
 #: The end of a text, as a token.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Share of the training positions that NCE takes as positives, noise samples for a batch, positions in a batch.
-RATE, NOISE, BATCH = 0.1, 96, 2048
+#: Noise samples for a batch, positions in a batch.
+NOISE, BATCH = 96, 2048
 #: Documents of the warm start on the driver, at most.
 WARM_DOCS = 1500
 #: Distinct tokens that a counting task holds before it gives them out.
@@ -124,9 +124,10 @@ class Model:
             x[i] -= rate * grad / np.sqrt(g2[i])
 
         def summed(i, grad):
-            u, at = np.unique(i, return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            return u, np.add.reduceat(grad[order], np.searchsorted(at[order], np.arange(len(u))), axis=0)
+            order = np.argsort(i, kind="stable")
+            i = i[order]
+            at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            return i[at], np.add.reduceat(grad[order], at, axis=0)
 
         for _ in range(epochs):
             order = rng.permutation(len(c))
@@ -180,8 +181,10 @@ class Model:
         return np.where(there, self.counts[at], 0), there
 
 
-def _averaged(docs: DataFrame, model: Model, text: str) -> None:
-    """One round of local NCE in every task, over all training texts; the tasks' parameters are averaged by their positions."""
+def _averaged(docs: DataFrame, model: Model, text: str) -> int:
+    """One round of local NCE in every task, with every position of all training texts as a positive; the tasks' parameters are
+    averaged by their positions. Returns the number of positions.
+    """
     spark = docs.sparkSession
     shared = store.share(spark, model)
     shapes = [x.shape for x in (model.v, model.r, model.place)]
@@ -196,12 +199,9 @@ def _averaged(docs: DataFrame, model: Model, text: str) -> None:
         for b in words.sliced(batches, "_text"):
             h, first = tokens(b.column(0))
             c = m.class_of(h)
-            x = m.contexts(c, first)
-            # Positions are drawn by their context and place in the text, so a rerun draws the same.
-            draw = words.mixed(_mix(x, c) + (np.arange(len(c)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64), 9) < np.uint64(RATE * 2.0**64)
-            cs.append(c[draw])
-            xs.append(x[draw])
-            seen += int(draw.sum())
+            cs.append(c)
+            xs.append(m.contexts(c, first))
+            seen += len(c)
             if sum(map(len, cs)) > 50 * BATCH:
                 learn()
                 cs, xs = [], []
@@ -213,21 +213,14 @@ def _averaged(docs: DataFrame, model: Model, text: str) -> None:
             yield pa.RecordBatch.from_arrays([*rows, *[pa.array(flat[:, j] * seen) for j in range(DIM)]], names=["i", "n", *[f"x{j}" for j in range(DIM)]])
 
     got = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(run, "i int, n double, " + ", ".join(f"x{j} double" for j in range(DIM)))
-    got = got.groupBy("i").agg(*[(F.sum(f"x{j}") / F.sum("n")).alias(f"x{j}") for j in range(DIM)]).toPandas().sort_values("i")
+    got = got.groupBy("i").agg(F.sum("n").alias("n"), *[(F.sum(f"x{j}") / F.sum("n")).alias(f"x{j}") for j in range(DIM)]).toPandas().sort_values("i")
     if not len(got):
-        return
+        return 0
     flat = got[[f"x{j}" for j in range(DIM)]].to_numpy()
     cut = np.cumsum([s[0] for s in shapes])
     model.v, model.r, model.place = (flat[a:b].astype(np.float32) for a, b in zip([0, *cut[:2]], cut, strict=True))
     model.b = flat[cut[2] :].reshape(-1)[: model.classes].astype(np.float32)
-
-
-def _mix(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = c.astype(np.uint64)
-        for k in range(x.shape[1]):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + x[:, k].astype(np.uint64)
-        return words.mixed(out, 4)
+    return int(got["n"].iloc[0])
 
 
 def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
