@@ -9,20 +9,29 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Vectors that the partitions are learned from, at most; neighbours of each in the graph; partitions at most.
-SAMPLE, GRAPH, PARTS = 8192, 10, 64
+#: Vectors that the partitions are learned from: at least the first number, one in SHARE_OF of a larger table, at most the last.
+SAMPLE, SHARE_OF, MOST = 8192, 128, 65536
+#: Neighbours of each sampled vector in the graph, and sampled vectors of a partition, at least.
+GRAPH, PART_ROWS = 10, 64
 #: Share of sampled neighbours that the probed partitions must hold; it sets how many are probed.
-AIM = 0.96
+AIM = 0.94
 #: Rows of an index block and of a query block that meet in one group.
 INDEX_BLOCK, QUERY_BLOCK = 8192, 2048
 #: Scores this close to the last kept one are compared again, exactly.
 SLACK = 1e-9
 
 
-def _rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row divided by a power of two near its largest component: squares neither overflow nor vanish, and no bit changes."""
+    _, power = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -power)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -33,10 +42,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each row, by cosine, in blocks."""
     out = np.empty((len(x), k), np.int64)
-    for s in range(0, len(x), 512):
-        sim = x[s : s + 512] @ x.T
+    for s in range(0, len(x), 128):
+        sim = x[s : s + 128] @ x.T
         sim[np.arange(len(sim)), s + np.arange(len(sim))] = -2
-        out[s : s + 512] = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        out[s : s + 128] = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -98,8 +107,8 @@ class Router:
         h = np.maximum(x @ self.w[0] + self.w[1], 0)
         return h @ self.w[2] + self.w[3], h
 
-    def fit(self, x, y, epochs: int = 40, batch: int = 256, rate: float = 3e-3, seed: int = 1) -> None:
-        """Cross-entropy against the partitions of each vector's neighbours, with Adam."""
+    def fit(self, x, near, epochs: int = 40, batch: int = 256, rate: float = 3e-3, seed: int = 1) -> None:
+        """Cross-entropy against the partitions ``near`` of each vector and its neighbours (a row of numbers each), with Adam."""
         rng = np.random.default_rng(seed)
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for _ in range(epochs):
@@ -108,7 +117,9 @@ class Router:
                 i = order[s : s + batch]
                 z, h = self.logits(x[i])
                 p = np.exp(z - z.max(1, keepdims=True))
-                d = (p / p.sum(1, keepdims=True) - y[i]) / len(i)
+                p /= p.sum(1, keepdims=True)
+                np.subtract.at(p, (np.repeat(np.arange(len(i)), near.shape[1]), near[i].reshape(-1)), 1 / near.shape[1])
+                d = p / len(i)
                 dh = (d @ self.w[2].T) * (h > 0)
                 t += 1
                 for k, g in enumerate((x[i].T @ dh, dh.sum(0), h.T @ d, d.sum(0))):
@@ -120,12 +131,12 @@ class Router:
         return np.argsort(-self.logits(x)[0], axis=1, kind="stable")
 
 
-def learn(x: np.ndarray, near: np.ndarray | None = None) -> Router:
+def learn(x: np.ndarray) -> Router:
     """Partitions and router from a sample of unit vectors; ``probes`` is the least number of partitions that reaches AIM."""
     x = np.unique(x, axis=0)
     n = len(x)
     parts = 1
-    while parts * 2 <= PARTS and n // (parts * 2) >= 64:
+    while n // (parts * 2) >= PART_ROWS:
         parts *= 2
     router = Router(x.shape[1], parts)
     if parts == 1:
@@ -133,25 +144,22 @@ def learn(x: np.ndarray, near: np.ndarray | None = None) -> Router:
     k = min(GRAPH, n - 1)
     near = graph(x, k)
     part = balanced(near, parts)
-    y = np.zeros((n, parts))
-    np.add.at(y, (np.repeat(np.arange(n), k), part[near].reshape(-1)), 1.0)
-    y[np.arange(n), part] += 1
     # The fit leaves a tenth out, and the number of probes is set on that.
     held = np.arange(n) % 10 == 0
-    router.fit(x[~held], (y / y.sum(1, keepdims=True))[~held])
-    ranked = router.ranked(x)
-    home = ranked[:, 0]
-    at = np.empty((n, parts), np.int64)
-    at[np.arange(n)[:, None], ranked] = np.arange(parts)
-    places = at[np.repeat(np.flatnonzero(held), k), home[near[held]].reshape(-1)]
+    router.fit(x[~held], np.hstack([part[near], part[:, None]])[~held])
+    home = np.concatenate([router.ranked(x[s : s + 4096])[:, 0] for s in range(0, n, 4096)])
+    ranked = router.ranked(x[held])
+    at = np.empty(ranked.shape, np.int64)
+    at[np.arange(len(at))[:, None], ranked] = np.arange(parts)
+    places = at[np.repeat(np.arange(len(at)), k), home[near[held]].reshape(-1)]
     share = np.cumsum(np.bincount(places, minlength=parts)) / max(len(places), 1)
-    router.probes = int(np.searchsorted(share, AIM) + 1) if share[-1] >= AIM else parts
-    router.probes = min(parts, router.probes)
+    router.probes = min(parts, int(np.searchsorted(share, AIM) + 1))
     return router
 
 
 def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
     """For each query its k best rows of a block, by the exact score and then the smaller id."""
+    q, x = _scaled(q), _scaled(x)
     nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     out_q, out_x, out_s = [], [], []
     for s in range(0, len(q), 256):
@@ -174,11 +182,16 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest other rows found for each query: query_id, rank, vec_id, score (cosine in double precision).
 
-    A balanced partition of the neighbour graph of at most SAMPLE distinct vectors teaches a router; each row is indexed in
-    its most probable partition, and each query is compared with every row of its most probable ones. Rows of a partition
-    are dealt into blocks, so a vector that many rows share doesn't gather in one task. Vectors that are null, zero, hold null
-    or non-finite components or haven't the most common length take no part, nor do rows without an id; a repeated row counts
-    once; ids that repeat with other vectors are candidates with each of them.
+    A balanced partition of the neighbour graph of a sample of distinct vectors (it grows with the table, up to MOST) teaches a
+    router; each row is indexed in its most probable partition, and each query is compared with every row of its most probable
+    ones: of as many as hold AIM of the sample's neighbours, and of more while these have too few rows. A query that found
+    fewer than k rows even so (where many rows share an id) is compared with all rows, so it gets k, or all candidates if
+    there are fewer. Rows of a partition are dealt into blocks, so a vector that many rows share doesn't gather in one task.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id. A cosine
+    needs vectors of one length: those that haven't the most common one are compared with all others of their own length. A
+    repeated row counts once; ids that repeat with other vectors are candidates with each of them, and ask with the least.
+    Equal scores go by the smaller id. An empty table gives no rows; columns other than the two are ignored.
     """
     spark = vectors.sparkSession
 
@@ -187,48 +200,74 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
         fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
         return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & fine)
 
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = valid(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = valid(vectors)
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes.d
-    rows = valid(vectors).filter(F.size("v") == dim)
-    asked = valid(queries).filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    some = store.smallest(rows.withColumn("h", F.xxhash64("v", "id")), "h", SAMPLE, "id").select("v").toArrow()
-    router = learn(_unit(_rows(some["v"], dim)))
-    shared = store.share(spark, router)
+    asked = valid(queries).groupBy("id").agg(F.min("v").alias("v"))
+    sample = min(MOST, max(SAMPLE, sizes["count"] // SHARE_OF))
+    some = store.smallest(rows.filter(F.size("v") == dim).withColumn("h", F.xxhash64("v", "id")), "h", sample, "id").select("v").toArrow()
+    router = learn(_unit(_rows(some["v"])))
+    shared = store.share(spark, router)  # a few hundred numbers for each of at most MOST / PART_ROWS partitions
+
+    def routed(probes):
+        """``probes``: partitions of each row, given the ranked ones."""
 
-    def routed(probes: int | None):
         def run(batches):
             router = shared()
             for b in batches:
-                if b.num_rows:
-                    n = probes or 1
-                    top = router.ranked(_unit(_rows(b.column(1), dim)))[:, :n]
-                    take = pa.array(np.repeat(np.arange(b.num_rows), n))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(top.reshape(-1).astype(np.int32))], names=["id", "v", "part"])
+                size = np.diff(b.column(1).offsets.to_numpy())
+                usual = np.flatnonzero(size == dim)
+                who, part = [np.flatnonzero(size != dim)], [-size[size != dim]]  # a partition for each other length
+                if len(usual):
+                    ranked = router.ranked(_unit(_rows(b.column(1).take(pa.array(usual)))))
+                    n = probes(ranked)
+                    who.append(np.repeat(usual, n))
+                    part.append(ranked[np.arange(ranked.shape[1]) < n[:, None]])
+                take = pa.array(np.concatenate(who))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(part).astype(np.int32))], names=["id", "v", "part"])
 
         return run
 
     ddl = f"id long, v {rows.schema['v'].dataType.simpleString()}, part int"
-    index = store.keep(rows.mapInArrow(routed(None), ddl), "ann-index")
-    ask = store.keep(asked.mapInArrow(routed(router.probes), ddl), "ann-queries")
-    of = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by = {r.part: r.n for r in ask.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame([(p, -(-n // INDEX_BLOCK), -(-by[p] // QUERY_BLOCK)) for p, n in of.items() if p in by], "part int, ib int, qb int")
+    index = store.keep(rows.mapInArrow(routed(lambda ranked: np.ones(len(ranked), int)), ddl), "ann-index")
+    parts = len(router.w[3])
+    held = np.zeros(parts)
+    for r in index.filter("part >= 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():
+        held[r.part] = r.n
+    usual = router.probes
+
+    def enough(ranked):
+        return np.minimum(parts, np.maximum(usual, (np.cumsum(held[ranked], axis=1) <= k).sum(1) + 1))
+
+    found = store.keep(_compare(index, asked.mapInArrow(routed(enough), ddl), k), "ann-found")
+    short = found.groupBy("query_id").count().filter(F.col("count") >= k).withColumnRenamed("query_id", "id")
+    short = store.keep(asked.join(short, "id", "left_anti"), "ann-short")
+    if short.limit(1).count():
+        again = _compare(index, short.mapInArrow(routed(lambda ranked: np.full(len(ranked), parts)), ddl), k)
+        found = store.keep(found.unionByName(again).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "ann-found")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _compare(index: DataFrame, ask: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each query the k best rows of every block of its partitions."""
+    ask = store.keep(ask, "ann-queries")
+    size = lambda df, name: df.groupBy("part").agg(F.count(F.lit(1)).alias(name))
+    plan = size(index, "n").join(size(ask, "m"), "part")
+    plan = plan.select("part", F.ceil(F.col("n") / INDEX_BLOCK).cast("int").alias("ib"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("qb"))
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(17)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = ask.join(F.broadcast(plan), "part").select("id", "v", "part", deal("qb").alias("q"), every("ib").alias("i"))
-    right = index.join(F.broadcast(plan), "part").select("id", "v", "part", deal("ib").alias("i"), every("qb").alias("q"))
+    left = ask.join(plan, "part").select("id", "v", "part", deal("qb").alias("q"), every("ib").alias("i"))
+    right = index.join(plan, "part").select("id", "v", "part", deal("ib").alias("i"), every("qb").alias("q"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         else:
-            got = _best(_rows(a["v"], dim), a["id"].to_numpy(), _rows(b["v"], dim), b["id"].to_numpy(), k)
+            got = _best(_rows(a["v"]), a["id"].to_numpy(), _rows(b["v"]), b["id"].to_numpy(), k)
         return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    found = left.groupBy("part", "i", "q").cogroup(right.groupBy("part", "i", "q")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = left.groupBy("part", "i", "q").cogroup(right.groupBy("part", "i", "q")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
