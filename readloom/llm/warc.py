@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, words
 
 #: Payloads of fewer bytes are never revisits.
 MIN_PAYLOAD = 100
 LEVEL = 4
 READ = 1 << 20
+#: Bytes of payload that a writing task holds as objects, bytes inflated at a time, and bytes of records that a reading task fetches.
+SLICE, INFLATED, FETCH = 8 << 20, 16 << 20, 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "path string, offset long, length long"
 
@@ -80,18 +82,20 @@ def records(chunks):
 
 
 def inflated(stream):
-    """The bytes of a gzip stream, member after member, without holding the whole."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip stream, member after member, without holding the whole; a stream that stops within a member is an error."""
+    z, inside = zlib.decompressobj(31), True
     while data := stream.read(READ):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, INFLATED)
+            inside = not z.eof
+            data = z.unused_data if z.eof else z.unconsumed_tail
             if z.eof:
                 z = zlib.decompressobj(31)
-            else:
-                data = b""
-    if (rest := z.flush()) :
+    while inside and (rest := z.decompress(z.unconsumed_tail, INFLATED)):
         yield rest
+        inside = not z.eof
+    if inside:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def fields(rec: bytes) -> tuple[dict[str, str], bytes]:
@@ -104,13 +108,20 @@ def fields(rec: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def decided(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """page_id, url, payload, digest, and refers_to: of equal payloads of ``min_payload`` bytes or more, all but the one with the smallest id refer to that."""
+    """page_id, url, payload, digest, and refers_to: of equal payloads of ``min_payload`` bytes or more, all but the one with the smallest id refer to that.
+
+    Smaller payloads, whose digests many pages may share, take no part in the join. Its small side is a table of its own, so
+    that Spark can split a page that very many rows hold.
+    """
     payload = F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit("").cast("binary"))
-    all_ = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    all_ = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), payload.alias("payload"))
     big = F.octet_length("payload") >= min_payload
-    first = all_.filter(big).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    joined = all_.join(first, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(big & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    small = all_.filter(~big).select("*", F.sha2("payload", 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    large = all_.filter(big).withColumn("digest", F.sha2("payload", 256))
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    first = store.keep(first.select(F.col("digest").alias("_d"), "first"), "warc-first")
+    joined = large.join(first, large["digest"] == first["_d"], "left")
+    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")).unionByName(small)
 
 
 def write(pages: DataFrame, folder: str, **options) -> DataFrame:
@@ -121,7 +132,7 @@ def write(pages: DataFrame, folder: str, **options) -> DataFrame:
 
     def run(batches):
         n, target, sink, z, path = 0, None, None, None, f"{folder}/raw-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-        for b in batches:
+        for b in words.sliced(batches, "payload", SLICE):
             for p, u, payload, d, r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if sink is None:
                     target, at = _open(path)
@@ -140,30 +151,35 @@ def write(pages: DataFrame, folder: str, **options) -> DataFrame:
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Inflate each archive's stream once, write every record as a gzip member of its own, and an offset index beside the archive.
 
-    ``archives`` has the paths of gzip archives (one stream or many members). Returns path (the new archive) and index.
+    ``archives`` has the paths of gzip archives (one stream or many members), and may have ``records``, the number that each
+    must hold. Every archive is a task of its own. A stream that is cut, a malformed record or another number of records is an
+    error. Returns path (the new archive), index, records and bytes.
     """
+    known = "records" in archives.columns
 
     def run(batches):
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, due in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name = f"{folder}/members-{uuid.uuid4().hex}.warc.gz"
                 source, at = _open(path)
                 target, to = _open(name)
                 target.create_dir(to.rpartition("/")[0], recursive=True)
-                offset, lines = 0, []
-                with source.open_input_stream(at, compression=None) as stream, target.open_output_stream(to, compression=None) as sink:
+                offset, n = 0, 0
+                with source.open_input_stream(at, compression=None) as stream, target.open_output_stream(to, compression=None) as sink, target.open_output_stream(to + ".idx", compression=None) as index:
                     for rec in records(inflated(stream)):
                         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = z.compress(rec) + z.flush()
                         sink.write(member)
-                        lines.append(f"{name}\t{offset}\t{len(member)}\n")
+                        index.write(f"{name}\t{offset}\t{len(member)}\n".encode())
                         offset += len(member)
-                with target.open_output_stream(to + ".idx", compression=None) as sink:
-                    sink.write("".join(lines).encode())
-                yield pa.RecordBatch.from_pydict({"path": [name], "index": [name + ".idx"]})
+                        n += 1
+                if due is not None and n != due:
+                    raise ValueError(f"{path} has {n} records, {due} were written")
+                yield pa.RecordBatch.from_pydict({"path": [name], "index": [name + ".idx"], "records": pa.array([n], pa.int64()), "bytes": pa.array([offset], pa.int64())})
 
-    spread = archives.select("path").repartition("path")
-    return store.keep(spread.mapInArrow(run, "path string, index string"), "warc-members")
+    given = archives.select("path", (F.col("records") if known else F.lit(None)).cast("long").alias("records"))
+    spread = given.repartition(max(1, archives.count()), "path")  # a number, so that these few rows aren't put in one task
+    return store.keep(spread.mapInArrow(run, "path string, index string, records long, bytes long"), "warc-members")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -205,10 +221,12 @@ def round_trip(pages: DataFrame, *, folder: str | None = None, **options) -> Dat
     folder = folder or store.new_path(spark, "warc")
     written = write(pages, f"{folder}/raw", **options)
     members = normalise(written, f"{folder}/members")
-    paths = [r.index for r in members.select("index").toLocalIterator()]
-    store.drop(spark, f"{folder}/raw")
-    if not paths:
+    n, size = members.agg(F.sum("records"), F.sum("bytes")).first()
+    store.drop(spark, f"{folder}/raw", written)
+    if not n:
         return read(spark.createDataFrame([], INDEX))
-    index = spark.read.schema(INDEX).csv(f"{folder}/members/*.idx", sep="\t", quote="")
-    listed = members.select("path")
-    return read(index.join(listed, "path", "left_semi").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset"))
+    index = spark.read.schema(INDEX).csv(f"{folder}/members/*.idx", sep="\t", quote="").join(members.select("path"), "path", "left_semi")
+    if (found := index.count()) != n:
+        raise ValueError(f"the indexes list {found} records, {n} were written")
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // FETCH))
+    return read(index.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset"))

@@ -131,6 +131,26 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.nearest(v.filter("vec_id < 0"), v).count() == 0
 
 
+def test_neighbours_small_groups_get_all_they_ask_for(spark):
+    rng = np.random.default_rng(8)
+    far = np.repeat(np.eye(64) * 10, 3, axis=0) + 0.01 * rng.normal(size=(192, 64))
+    x = np.concatenate([far, np.ones((1500, 64)) + 0.01 * rng.normal(size=(1500, 64))])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(v, v.filter("vec_id < 48 or vec_id % 50 = 0")).groupBy("query_id").count().collect()
+    assert len(got) == 48 + 1692 // 50 and {r["count"] for r in got} == {5}
+
+
+def test_neighbours_repeated_ids_extreme_and_other_lengths(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [1e200, 0.0]), (3, [5e-324, 5e-324])] + [(4, [1.0, float(i)]) for i in range(40)] + [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 3.0]), (102, [3.0, 0.0, 0.0]), (103, [2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(v, v.filter("vec_id in (0, 1, 100, 103)"), k=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 12)))
+    got = {k: sorted(x) for k, x in got.items()}
+    assert got[0] == [(1, 3, 1.0), (2, 4, 1.0)] and got[1] == [(1, 2, 1.0), (2, 4, 1.0)]
+    assert got[100] == [(1, 101, 1.0), (2, 102, round(1 / 14**0.5, 12))] and 103 not in got
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(1).normal(size=(512, 8))
     part = neighbours.balanced(neighbours.graph(x / np.linalg.norm(x, axis=1, keepdims=True), 8), 8)
@@ -566,3 +586,29 @@ def test_warc_records_in_any_chunks():
         assert list(warc.records(whole[i : i + n] for i in range(0, len(whole), n))) == recs
     with pytest.raises(ValueError):
         list(warc.records([b"".join(recs)[:-9]]))
+
+
+def test_warc_cut_archives_are_errors(spark, tmp_path):
+    import gzip
+    import io
+
+    recs = [warc.record(i, f"u{i}", b"p" * 300, "d", None) for i in range(20)]
+    whole = gzip.compress(b"".join(recs))
+    members = [gzip.compress(r) for r in recs]
+    for raw in (whole[:-8], whole[: len(whole) // 2], b"".join(members)[:-3], b""):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(warc.inflated(io.BytesIO(raw))))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members[:-1]))
+    archives = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), 20)], "path string, records long")
+    with pytest.raises(Exception, match="19 records, 20 were written"):
+        warc.normalise(archives, f"{tmp_path}/out").count()
+    assert warc.normalise(archives.select("path"), f"{tmp_path}/out").first().records == 19
+
+
+def test_warc_inflates_in_bounded_pieces():
+    import gzip
+    import io
+
+    raw = gzip.compress(bytes(60 << 20))
+    sizes = [len(x) for x in warc.inflated(io.BytesIO(raw))]
+    assert sum(sizes) == 60 << 20 and max(sizes) <= warc.INFLATED
