@@ -19,9 +19,9 @@ KNOWN = 1 << 17
 #: The end of a text, as a token.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Noise samples for a batch, positions in a batch.
-NOISE, BATCH = 96, 2048
-#: Documents of the warm start on the driver, at most.
-WARM_DOCS = 1500
+NOISE, BATCH = 40, 2048
+#: Step sizes of the two rounds of training, and the positions of each task that the first one uses.
+RATES, WARM = (0.1, 0.05), 1 << 17
 #: Distinct tokens that a counting task holds before it gives them out.
 HOLD = 400_000
 
@@ -112,12 +112,17 @@ class Model:
     def noise(self) -> np.ndarray:
         return self.unigram / self.unigram.sum()
 
-    def train(self, c: np.ndarray, ctx: np.ndarray, rate: float, epochs: int = 1, seed: int = 3) -> None:
-        """NCE with noise shared by a batch: tell the true class from NOISE draws of the unigram, by matrix products."""
+    def train(self, c: np.ndarray, ctx: np.ndarray, rate: float, epochs: int = 1, seed: int = 3, state: list | None = None) -> list:
+        """NCE with noise shared by a batch: tell the true class from NOISE draws of the unigram, by matrix products.
+
+        AdaGrad's sums of squares are the result, and go on from ``state``.
+        """
         rng = np.random.default_rng(seed)
-        p = self.noise()
-        log_kp = np.log(NOISE * p + 1e-12).astype(np.float32)
-        state = [np.full(x.shape, 1e-4, np.float32) for x in (self.v, self.r, self.b, self.place)]
+        edges = np.cumsum(self.noise())
+        log_kp = np.log(NOISE * self.noise() + 1e-12).astype(np.float32)
+        state = state or [np.full(x.shape, 1e-4, np.float32) for x in (self.v, self.r, self.b, self.place)]
+        size = min(BATCH, max(128, len(c) // 64))
+        c, ctx = c.astype(np.int16), np.ascontiguousarray(ctx.T.astype(np.int16))  # short keys sort in linear time
 
         def step(x, g2, i, grad):
             g2[i] += grad * grad
@@ -129,26 +134,41 @@ class Model:
             at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
             return i[at], np.add.reduceat(grad[order], at, axis=0)
 
-        for _ in range(epochs):
-            order = rng.permutation(len(c))
-            for s in range(0, len(order), BATCH):
-                i = order[s : s + BATCH]
-                x, y = ctx[i], c[i]
-                q = self.query(x)
-                z = rng.choice(self.classes, NOISE, p=p)
-                true = (q * self.r[y]).sum(1) + self.b[y] - log_kp[y]
-                fake = q @ self.r[z].T + self.b[z] - log_kp[z]
-                gt = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1) / len(i)
-                gf = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / len(i)
-                dq = gt[:, None] * self.r[y] + gf @ self.r[z]
-                ry, rg = summed(np.concatenate([y, z]), np.concatenate([gt[:, None] * q, gf.T @ q]))
-                by, bg = summed(np.concatenate([y, z]), np.concatenate([gt, gf.sum(0)])[:, None])
-                vi, vg = summed(x.T.reshape(-1), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]))
-                pg = np.stack([(dq * self.v[x[:, k]]).sum(0) for k in range(CONTEXT)])
-                step(self.r, state[1], ry, rg.astype(np.float32))
-                step(self.b, state[2], by, bg[:, 0].astype(np.float32))
-                step(self.v, state[0], vi, vg.astype(np.float32))
-                step(self.place, state[3], slice(None), pg.astype(np.float32))
+        def sigmoid(x):
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
+        with np.errstate(over="ignore"):
+            for _ in range(epochs):
+                order = rng.permutation(len(c)).astype(np.int32)
+                for s in range(0, len(order), size):
+                    i = order[s : s + size]
+                    x, y = ctx[:, i], c[i]
+                    near = [self.v[x[k]] for k in range(CONTEXT)]
+                    q = near[0] * self.place[0]
+                    for k in range(1, CONTEXT):
+                        q += near[k] * self.place[k]
+                    z = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), self.classes - 1).astype(np.int16)
+                    ry, rz = self.r[y], self.r[z]
+                    gt = sigmoid(np.einsum("ij,ij->i", q, ry) + (self.b - log_kp)[y]) - 1
+                    fake = q @ rz.T
+                    fake += (self.b - log_kp)[z]
+                    gf = sigmoid(fake)
+                    gt /= len(i)
+                    gf /= len(i)
+                    dq = gf @ rz
+                    dq += gt[:, None] * ry
+                    # The bias is a column of the gradient beside the class's vector.
+                    own, grad = summed(np.concatenate([y, z]), np.concatenate([np.hstack([gt[:, None] * q, gt[:, None]]), np.hstack([gf.T @ q, gf.sum(0)[:, None]])]))
+                    vi, vg = summed(x.reshape(-1), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]))
+                    pg = np.stack([np.einsum("ij,ij->j", dq, near[k]) for k in range(CONTEXT)])
+                    step(self.r, state[1], own, grad[:, :-1])
+                    step(self.b, state[2], own, grad[:, -1])
+                    step(self.v, state[0], vi, vg)
+                    step(self.place, state[3], slice(None), pg)
+        return state
 
     def class_log(self, c: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Normalised natural-log class probabilities; the normaliser of each distinct context comes from one matrix product."""
@@ -181,9 +201,12 @@ class Model:
         return np.where(there, self.counts[at], 0), there
 
 
-def _averaged(docs: DataFrame, model: Model, text: str) -> int:
-    """One round of local NCE in every task, with every position of all training texts as a positive; the tasks' parameters are
-    averaged by their positions. Returns the number of positions.
+def _averaged(docs: DataFrame, model: Model, text: str, rate: float, upto: int | None = None) -> int:
+    """One round of local NCE in every task; the tasks' parameters are averaged by their positions. Returns the number of positions.
+
+    Every position of every training text is a positive. A first round with ``upto`` only brings the tasks' parameters, which
+    start alike, to one neighbourhood, so that the averages of the round over everything make sense: it stops in each task
+    after that many positions (or goes over fewer again), and so grows with the tasks.
     """
     spark = docs.sparkSession
     shared = store.share(spark, model)
@@ -191,10 +214,11 @@ def _averaged(docs: DataFrame, model: Model, text: str) -> int:
 
     def run(batches):
         m = shared()
-        seen, cs, xs = 0, [], []
+        seen, cs, xs, state = 0, [], [], None
 
         def learn():
-            m.train(np.concatenate(cs), np.concatenate(xs), 0.02, seed=seen % 1000)
+            n = sum(map(len, cs))
+            return m.train(np.concatenate(cs), np.concatenate(xs), rate, epochs=min(20, max(1, (upto or 0) // n)), seed=seen % 1000, state=state)
 
         for b in words.sliced(batches, "_text"):
             h, first = tokens(b.column(0))
@@ -202,9 +226,11 @@ def _averaged(docs: DataFrame, model: Model, text: str) -> int:
             cs.append(c)
             xs.append(m.contexts(c, first))
             seen += len(c)
-            if sum(map(len, cs)) > 50 * BATCH:
-                learn()
+            if not upto and sum(map(len, cs)) > 50 * BATCH:
+                state = learn()
                 cs, xs = [], []
+            if upto and seen >= upto:
+                break
         if cs and sum(map(len, cs)):
             learn()
         if seen:
@@ -226,8 +252,9 @@ def _averaged(docs: DataFrame, model: Model, text: str) -> int:
 def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     """The model of the training texts ``docs``, and the kept table of all token counts.
 
-    Counts cover every training token. The network gets a warm start on at most WARM_DOCS texts, then a round of NCE in every
-    task over all of them.
+    Counts cover every training token, and the network is trained by NCE in every task over all of them. Null and empty texts
+    are one token, the end; very long ones are cut nowhere; repeated rows count as often as they are there; without texts
+    the model knows no token, and gives each the share of an unseen one. Other columns are ignored.
     """
     spark = docs.sparkSession
     table = store.keep(count(docs, text), "lm-counts")
@@ -253,36 +280,23 @@ def fit(docs: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     model.mass = np.concatenate([own, sums])
     model.unigram = np.maximum(model.mass, 1e-3)
     model.b = np.log(model.unigram / model.unigram.sum()).astype(np.float32)
-    warm = store.smallest(docs.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_h")).filter("_text is not null"), "_h", WARM_DOCS)
-
-    def classes(batches):
-        m = shared()
-        for b in words.sliced(batches, "_text"):
-            hh, first = tokens(b.column(0))
-            # Each text gives at most 400 stretches' worth of class numbers: every k-th run of 64 tokens of a long one.
-            cc = m.class_of(hh)
-            x = m.contexts(cc, first)
-            run = (np.arange(len(cc)) - np.repeat(first[:-1], np.diff(first))) // 64
-            keep = run % np.repeat(np.maximum(1, np.diff(first) // 25600), np.diff(first)) == 0
-            yield pa.RecordBatch.from_arrays([pa.array(cc[keep].astype(np.int16)), *[pa.array(x[keep, k].astype(np.int16)) for k in range(CONTEXT)]], names=["c", *[f"x{k}" for k in range(CONTEXT)]])
-
-    shared = store.share(spark, model)
-    got = warm.select("_text").mapInArrow(classes, "c short, " + ", ".join(f"x{k} short" for k in range(CONTEXT))).toArrow()
-    if got.num_rows:
-        c0 = got["c"].to_numpy().astype(np.int64)
-        x0 = np.stack([got[f"x{k}"].to_numpy().astype(np.int64) for k in range(CONTEXT)], 1)
-        model.train(c0, x0, 0.1, epochs=2)
-        _averaged(docs, model, text)
+    for rate, upto in zip(RATES, (WARM, None), strict=True):
+        _averaged(docs, model, text, rate, upto)
     return model, table
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each text: the columns ``keep``, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
+    A null text counts as empty: its only token is the end. Columns of ``docs`` other than those to keep are ignored, whatever
+    their names; a kept one must not be named like a result. An empty table gives no rows.
     Tokens that executors don't all know are looked up in the count table by a join on the token; its sums go back to the
     texts by their key, the hash of the kept columns and the text. Rows that are the same in both are scored alike.
     """
     shared = store.share(docs.sparkSession, model)  # KNOWN * 16 bytes, and the network
+    shown, keep = keep, tuple(f"p{i}" for i in range(len(keep)))
+    docs = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(shown, keep, strict=True)], F.col(f"`{text}`").alias("_text"))
+    text = "_text"
     fields = [docs.schema[c] for c in keep]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     log_all = float(np.log10(model.total + model.distinct + 1.0))
@@ -331,7 +345,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, text: str = "text"
     known = F.coalesce(F.col("k") / F.col("times"), F.lit(0.0))
     extra = F.coalesce(F.col("l") / F.col("times"), F.lit(0.0))
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(p).alias(c) for c, p in zip(shown, keep, strict=True)],
         "n_tokens",
         (F.col("n_known") + F.round(known).cast("long")).alias("n_known"),
         F.lit(int(model.total)).cast("long").alias("train_tokens"),

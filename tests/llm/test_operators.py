@@ -345,8 +345,8 @@ def test_language_model_trains_on_every_position(spark):
     rng = random.Random(11)
     d = docs(spark, [(i, prose(rng, 60), "s") for i in range(30)] + [(30, None, "s"), (31, "", "s")]).select("doc_id", "text")
     model, _ = lm.fit(d)
-    assert lm._averaged(d, model, "text") == model.total == 30 * 61 + 2
-    assert lm._averaged(d.limit(0), model, "text") == 0
+    assert lm._averaged(d, model, "text", 0.05) == model.total == 30 * 61 + 2
+    assert lm._averaged(d.limit(0, 0.05), model, "text") == 0
 
 
 def test_language_model_is_normalised(spark):
