@@ -44,6 +44,9 @@ class Suffixes:
         pairs = np.unique(np.stack([which, item], 1), axis=0) if len(item) else np.zeros((0, 2), int)
         self.owner = pairs[:, 1]
         self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(self.keys) + 1))
+        # And where each window stands: the item, and the word of it that the window begins with.
+        order = np.argsort(which, kind="stable")
+        self.where, self.where_at = np.stack([item, start - first[item]], 1)[order], np.searchsorted(which[order], np.arange(len(self.keys) + 1))
         self.need = self.keys[:, width].astype(np.int64)
         # A training suffix that starts with none of these words or word pairs matches less than any window.
         self.bits = 20
@@ -113,29 +116,50 @@ def _digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def _marks(test: Suffixes, h: np.ndarray, first: np.ndarray):
-    """Of each document: the union of hit words as spans, the items found, the longest match in words and where it begins."""
-    docs = len(first) - 1
-    own = words.owners(first)
-    last = first[1:][own] if len(h) else np.zeros(0, np.int64)
-    edge = np.zeros(len(h) + 1, np.int64)
-    items: dict[int, set[int]] = {}
+def _found(test: Suffixes, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place in the shard at which a window stands, and which window."""
+    last = first[1:][words.owners(first)] if len(h) else np.zeros(0, np.int64)
     if len(h) and len(test.keys):
         at, depth = test.shard(h, last)
-        lo, hi = test.search(depth) if len(at) else (np.zeros(0, int), np.zeros(0, int))
-        found = np.flatnonzero(hi > lo) if len(at) else np.zeros(0, int)
-        if len(found):
+        if len(at):
+            lo, hi = test.search(depth)
+            found = np.flatnonzero(hi > lo)
             n = (hi - lo)[found]
-            place, window = at[_runs(lo[found], n)], np.repeat(found, n)
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + test.need[window], -1)
-            pairs = np.unique(own[place] * np.int64(len(test.keys)) + window)
-            for p in pairs.tolist():
-                d, w = divmod(p, len(test.keys))
-                items.setdefault(d, set()).update(test.owner[test.owner_at[w] : test.owner_at[w + 1]].tolist())
-    hit = np.cumsum(edge)[:-1] > 0
-    turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    return hit, turn, items, docs
+            return at[_runs(lo[found], n)], np.repeat(found, n)
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _marks(test: Suffixes, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
+    """Which words are hit, and the items of each document that has any."""
+    own = words.owners(first)
+    edge = np.zeros(len(h) + 1, np.int64)
+    items: dict[int, set[int]] = {}
+    place, window = _found(test, h, first)
+    np.add.at(edge, place, 1)
+    np.add.at(edge, place + test.need[window], -1)
+    for p in np.unique(own[place] * np.int64(max(len(test.keys), 1)) + window).tolist():
+        d, w = divmod(p, len(test.keys))
+        items.setdefault(d, set()).update(test.owner[test.owner_at[w] : test.owner_at[w + 1]].tolist())
+    return np.cumsum(edge)[:-1] > 0, items
+
+
+def _longest(test: Suffixes, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The verbatim matches that can't be made longer at either end: document, item, word of the item and of the document that
+    they begin with, and length in words.
+
+    Windows that follow one another both in the document and in the item are one match.
+    """
+    own = words.owners(first)
+    place, window = _found(test, h, first)
+    n = np.diff(test.where_at)[window]
+    item, start = test.where[_runs(test.where_at[:-1][window], n)].T
+    place, need = np.repeat(place, n), np.repeat(test.need[window], n)
+    order = np.lexsort((place, place - start, item, own[place]))
+    item, start, place, need = item[order], start[order], place[order], need[order]
+    keys = (own[place], item, place - start, place - np.arange(len(place)))
+    new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if len(place) else np.zeros(0, bool)
+    a, z = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(new)]]).astype(np.int64)[: new.sum()] - 1
+    return own[place[a]], item[a], start[a], place[a] - first[own[place[a]]], place[z] - place[a] + need[z]
 
 
 def hits(docs: DataFrame, block: Suffixes, text: str, passing: list[str], spans: bool) -> DataFrame:
@@ -149,7 +173,7 @@ def hits(docs: DataFrame, block: Suffixes, text: str, passing: list[str], spans:
         test = shared()
         for b in words.sliced(batches, "_text"):
             h, first = words.hashed(b.column(b.schema.get_field_index("_text")), words.ALNUM, words.LOWER)
-            hit, _, items, n = _marks(test, h, first)
+            (hit, items), n = _marks(test, h, first), b.num_rows
             run_ = np.concatenate([[0], np.cumsum(hit)])
             cols = [b.column(i) for i in range(len(kinds))]
             cols += [pa.array(np.diff(first).astype(np.int64)), pa.array((run_[first[1:]] - run_[first[:-1]]).astype(np.int64))]
@@ -181,12 +205,44 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
     yield rows
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The longest verbatim matches of ``width`` words or more between documents and benchmark items, and where they are.
+
+    A row for each match that can't be made longer at either end: the columns of ``docs`` but the text, item_id (a string),
+    item_start and doc_start (the number of the first matching word in each, from 0) and length (words). An item of fewer
+    words than ``width`` matches as a whole. Columns of ``docs`` with these names give way. Null and empty texts match
+    nothing; repeated documents and items each have their own matches; an item without an id has a null one.
+    """
+    docs, names = store.packed(docs, "item_id", "item_start", "doc_start", "length")
+    text = f"p{names.index(text)}"
+    passing = [docs.schema[c] for c in docs.columns if c != text]
+    given = docs.select(*[f.name for f in passing], F.col(text).alias("_text"))
+    ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in passing) + "item_id string, item_start long, doc_start long, length long"
+    out = None
+    for block in _blocks(benchmark, item_id, item_text):
+        shared = store.share(docs.sparkSession, Suffixes(block, width))  # bounded by BLOCK_BYTES of text
+
+        def run(batches, shared=shared):
+            test = shared()
+            for b in words.sliced(batches, "_text"):
+                d, item, start, at, n = _longest(test, *words.hashed(b.column(b.num_columns - 1), words.ALNUM, words.LOWER))
+                cols = [b.column(i).take(pa.array(d)) for i in range(len(passing))]
+                ids = pa.array([test.ids[i] for i in item.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, ids, *[pa.array(x.astype(np.int64)) for x in (start, at, n)]], names=[*[f.name for f in passing], "item_id", "item_start", "doc_start", "length"])
+
+        got = given.mapInArrow(run, ddl)
+        out = got if out is None else out.unionByName(got)
+    shown = [F.col(f"p{i}").alias(c) for i, c in enumerate(names) if f"p{i}" != text]
+    return out.select(*shown, "item_id", "item_start", "doc_start", "length")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, min_items: int = 2, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
     """Mark documents that hold benchmark text.
 
     Method: each task sorts the suffixes of its documents' words into a suffix array (a shard) and finds every benchmark
-    suffix's first ``width`` words in it by binary search; the matching range gives the places of the verbatim matches, and
-    overlapping windows join to the longest ones. Nothing is shuffled for a benchmark of up to BLOCK_BYTES.
+    suffix's first ``width`` words in it by binary search; the matching range gives the places of the verbatim matches.
+    Overlapping windows join to the longest ones, which ``matches`` lists with their places. Nothing is shuffled for a
+    benchmark of up to BLOCK_BYTES.
 
     Returns every column of ``docs`` but the text (that too with ``keep_text``), and: n_words, n_hit, n_items, items_sha256,
     contaminated; columns of these names give way.
