@@ -87,7 +87,9 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, doc_id: str =
     b = store.keep(b, "intervals")
     held.append(b)
     place = F.struct(*DOC, "start")
-    least = b.groupBy("len", "first", "last").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # A table of its own, so that the join's sides are plain and Spark can split an interval that very many lines are in.
+    least = store.keep(b.groupBy("len", "first", "last").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first-members")
+    held.append(least)
     copies = b.join(least, ["len", "first", "last"]).filter(place > F.col("least")).select(*DOC, "start", (F.col("start") + F.col("len") - 1).alias("end"))
     before = F.max("end").over(Window.partitionBy(*DOC).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("before").isNull() | (F.col("start") > F.col("before") + 1), 1).otherwise(0)
