@@ -127,7 +127,9 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, weights: str = "pr
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles (words between white space, as they
     are; a shorter text is one shingle) is ``threshold`` or more; classes are the connected components. Equal texts are
-    sketched by each document but compared as one. Texts that share a band are candidates; each is compared with the first
+    sketched by each document but compared as one. A link is a matter of the sets: with ``weights`` "presence" every shingle
+    weighs 1, the probability Jaccard that the sketches estimate is the sets' Jaccard, and no link is missed for its weights.
+    Texts that share a band are candidates; each is compared with the first
     of its bucket, and then, in blocks, with the others of that one's group that this has not put in its component, so a
     large bucket isn't expanded into its pairs and no candidate link between components is left out. ``weights`` "count"
     makes the sketches estimate the similarity weighted by the shingles' counts; verification is the same.
@@ -203,7 +205,10 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, weights: str = "pr
     order = F.struct(F.col("id").isNull(), F.col("id"), "_h1", "_h2")
     best = named.groupBy("root").agg(F.min(order).alias("best"), F.min("id").alias("class_id"))
     sizes = s.filter("n > 0").groupBy(*TEXT).agg(F.count(F.lit(1)).alias("c")).join(named, TEXT).groupBy("root").agg(F.sum("c").alias("class_size"))
-    placed = placed.join(best.join(sizes, "root"), "root", "left")
+    # A table of its own, so that Spark can split a class that very many documents are in.
+    best = store.keep(best.join(sizes, "root"), "class-heads")
+    held.append(best)
+    placed = placed.join(best, "root", "left")
     is_first = F.col("root").isNull() | ((F.col("_h1") == F.col("best._h1")) & (F.col("_h2") == F.col("best._h2")) & F.col("_id").eqNullSafe(F.col("class_id")))
     out = store.keep(placed.select("_id", *TEXT, F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), is_first.alias("first"), F.col("root").isNull().alias("alone")), "classes")
     store.drop(spark, *held)
