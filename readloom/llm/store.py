@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine), a folder of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset on one machine (as in tests), a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -79,10 +81,10 @@ def smallest(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
     doesn't grow with the rows or their partitions.
     """
     rows = df.count()
-    if rows > 4 * n:
-        bound = -(1 << 63) + int((1 << 64) * (2 * n + 50) / rows)
-        df = df.filter(F.col(key) <= F.lit(min(bound, (1 << 63) - 1)))
-    return df.orderBy(key, *ties).limit(n)
+    bound = min(-(1 << 63) + int((1 << 64) * (2 * n + 50) / max(rows, 1)), (1 << 63) - 1)
+    low = df.filter(F.col(key) <= F.lit(bound))
+    # Where many rows share a hash, the low end may hold fewer than asked for; then all of them are ordered.
+    return (low if low.count() >= n else df).orderBy(key, *ties).limit(n)
 
 
 def crc_fold(doc_id, folds: int):
