@@ -22,8 +22,8 @@ ANCHOR = 48
 MEMORY = 200_000
 #: Toxic segments in the toxic dictionary at most, the documents that each must be in, and its least log-likelihood ratio.
 SEGMENTS, MIN_DOCS, MIN_RATIO = 400, 3, 20.0
-#: Windows of ordinary text that the shared dictionary part is trained on, from each document and in all, at most.
-SHARED_PER_DOC, SHARED_WINDOWS = 8, 8000
+#: Windows of labelled ordinary text that the shared dictionary part is trained on, at most.
+SHARED_WINDOWS = 8000
 LOW = bytes(words.LOWER.tolist())
 GAPS = bytes(32 if not a else i for i, a in enumerate(words.ALNUM.tolist()))
 
@@ -115,7 +115,6 @@ def _tokens(text: bytes) -> set[bytes]:
     """Words and their beginnings of 5 bytes or more that end between characters, up to 24 bytes."""
     out = set()
     for w in set(text.split()):
-        w = w[:64]
         out.add(w)
         out.update(w[:k] for k in range(5, min(len(w), 24)) if w[k] & 0xC0 != 0x80)
     return out
@@ -159,11 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int =
         for b in words.sliced(batches, "_text"):
             got = []
             for t in b.column(0):
-                w = windows(folded(t.as_py() or b""), 64)
-                got += w[:: max(1, -(-len(w) // SHARED_PER_DOC))]
+                got += windows(folded(t.as_py() or b""), 64)
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["w"])
 
-    ordinary = [bytes(r.w) for r in first.filter("_label = 0").mapInArrow(samples, "w binary").withColumn("h", F.xxhash64("w")).orderBy("h", "w").limit(SHARED_WINDOWS).collect()]
+    ordinary = [bytes(r.w) for r in first.filter("_label = 0").mapInArrow(samples, "w binary").withColumn("h", F.xxhash64("w")).distinct().orderBy("h", "w").limit(SHARED_WINDOWS).collect()]
     try:
         common = zstandard.train_dictionary(COMMON_BYTES, ordinary).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
