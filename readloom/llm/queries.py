@@ -10,24 +10,49 @@ from .store import crc_fold, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to source weights 5, 2, 1, repeating: how many words of each the mix takes.
+
+    A null or blank text has size 0 and nothing is taken of it; a null source is a source, the last; long texts count whole;
+    repeated rows are dealt copies one by one; an empty table gives no rows. Columns are selected by name, so others don't clash.
+    """
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other vectors of each one whose id is divisible by 50.
+
+    Vectors that are null, zero or hold null or non-finite components take no part; ties go by the smaller id; a repeated row
+    counts once; a query with fewer than 5 candidates gets all; an empty table gives no rows; other columns are ignored.
+    """
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of line runs of 50 words or more.
+
+    A null text stays null with no lines; an empty one has one line; the earliest copy by id (nulls last), text and line stays;
+    rows with equal id and text count as one document and are cut alike; an empty table gives no rows.
+    """
     return lines.drop_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies (five-word shingles, similarity 0.8 or more) of every document.
+
+    A null or blank text is a class of its own; a shorter text than five words is one shingle; equal texts and repeated rows
+    share a class; class_id is the smallest id in it, nulls last; an empty table gives no rows.
+    """
     found = neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("_id").alias("doc_id"), "class_id", "class_size")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every text under a unigram base and the log-bilinear model, both learnt from six folds of seven.
+
+    A null or empty text is one token, the end; unseen tokens have the share of one; long texts count whole; a null id is in the
+    fold of 'null'; repeated rows score alike; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_fold(F.col("doc_id"), 7) == 2
     model, counts = lm.fit(docs.filter(~held_out))
@@ -36,6 +61,11 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from labelled rows of four folds of five.
+
+    Null and empty texts have no windows, and so the score of a text without toxic ones; long texts count whole; equal texts
+    score alike; without labels every score is 0.5; a label's document may repeat; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score(docs.select("doc_id", "text"), model)
@@ -43,11 +73,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a benchmark window of eight words, and the items that these are from.
+
+    Null texts have no words; items of fewer words are one window; null items match nothing; ids that repeat count once;
+    repeated rows are each marked; an empty benchmark or table gives no hits or no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text from a factorisation machine, learnt from labelled rows of four folds of five.
+
+    Null and empty texts have only structure features, a null n_chars one of its own; long texts count whole; equal rows score
+    alike; without both labels every score is constant; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     out = quality.score(docs.select("doc_id", "text", "n_chars"), model)
@@ -55,10 +95,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url: the longest rule, else trust and distrust along links.
+
+    A null url, or one without '://', has an empty host and path, fits no rule and is allowed; a null html has no links;
+    repeated pages are judged alike; an empty table gives no rows; other columns are ignored.
+    """
     return urls.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, normalised and read back: what kind of record it has become.
+
+    A null html is an empty payload; of equal payloads of 100 bytes or more the smallest id is the response (a row repeated with
+    that id too); a null id revisits where another has one; long payloads stay whole; an empty table gives no rows.
+    """
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 

@@ -346,7 +346,7 @@ def test_language_model_trains_on_every_position(spark):
     d = docs(spark, [(i, prose(rng, 60), "s") for i in range(30)] + [(30, None, "s"), (31, "", "s")]).select("doc_id", "text")
     model, _ = lm.fit(d)
     assert lm._averaged(d, model, "text", 0.05) == model.total == 30 * 61 + 2
-    assert lm._averaged(d.limit(0, 0.05), model, "text") == 0
+    assert lm._averaged(d.limit(0), model, "text", 0.05) == 0
 
 
 def test_language_model_is_normalised(spark):
@@ -612,3 +612,33 @@ def test_warc_inflates_in_bounded_pieces():
     raw = gzip.compress(bytes(60 << 20))
     sizes = [len(x) for x in warc.inflated(io.BytesIO(raw))]
     assert sum(sizes) == 60 << 20 and max(sizes) <= warc.INFLATED
+
+
+def brute_matches(a, b, width):
+    """Maximal common word runs of a document and an item, as (item start, document start, length)."""
+    out, width = set(), min(width, len(b))
+    for i in range(len(b)):
+        for j in range(len(a)):
+            if b[i] == a[j] and (i == 0 or j == 0 or b[i - 1] != a[j - 1]):
+                n = 0
+                while i + n < len(b) and j + n < len(a) and b[i + n] == a[j + n]:
+                    n += 1
+                if n >= width > 0:
+                    out.add((i, j, n))
+    return out
+
+
+def test_longest_matches_and_their_places(spark, monkeypatch):
+    rng = random.Random(12)
+    few = VOCAB[:3]
+    items = [("a", prose(rng, 30)), ("b", " ".join(rng.choice(few) for _ in range(25))), ("c", "one two three"), ("d", None), (None, prose(rng, 12)), ("a", prose(rng, 9)), ("e", "ka " * 12)]
+    texts = [None, "", prose(rng, 40), " ".join(rng.choice(few) for _ in range(60)), "x One, TWO three y one two three", items[0][1], prose(rng, 5) + " " + items[0][1][20:] + " " + items[4][1], "ka " * 20, " ".join(items[0][1].split()[:7])]
+    d = spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate([*texts, texts[5]])], "doc_id long, text string, item_id string, length int")
+    item = spark.createDataFrame(items, "item_id string, text string")
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    want = Counter((i, k, *m) for i, t in enumerate([*texts, texts[5]]) for k, w in items for m in brute_matches(tokens(t), tokens(w), 8))
+    for size in (decontaminate.BLOCK_BYTES, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.matches(d, item)
+        assert got.columns == ["doc_id", "item_id", "item_start", "doc_start", "length"]
+        assert Counter(map(tuple, got.collect())) == want and len(want) > 20
