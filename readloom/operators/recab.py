@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bases as bs
 from ..functions import cigar as cg
@@ -14,6 +17,10 @@ CELL = ["rg", "qual", "cycle", "second", "prev", "cur"]
 EXCLUDED, MIN_QUALITY, MAX_QUALITY = 0xF04, 5, 50
 #: The previous base of the first cycle.
 NONE_BEFORE = "K"
+#: Places of a table of qualities that every executor may hold (a byte each); larger ones are joined.
+DENSE = 1 << 27
+#: Reference bases of a chunk, at least.
+CHUNK = 1024
 
 
 def eligible(excluded: int = EXCLUDED) -> Column:
@@ -31,36 +38,69 @@ def explode_bases(reads: DataFrame, keep: list[str]) -> DataFrame:
     seq = F.when(back, bs.reverse_complement(F.col("seq"))).otherwise(F.upper("seq"))
     turn = lambda a: F.when(back, F.reverse(a)).otherwise(a)
     packed = F.arrays_zip(F.split(seq, "").alias("cur"), turn(bs.phreds(F.col("qual"))).alias("qual"), turn(cg.ref_offsets(F.col("cigar"))).alias("off"))
-    r = reads.select(*keep, "pos0", fl.has(F.col("flag"), fl.LAST).alias("second"), packed.alias("_b"))
-    x = r.select(*keep, "pos0", "second", "_b", F.posexplode("_b").alias("cycle", "_x"))
+    r = reads.select(*dict.fromkeys([*keep, "pos0"]), fl.has(F.col("flag"), fl.LAST).alias("second"), packed.alias("_b"))
+    x = r.select(*dict.fromkeys([*keep, "pos0"]), "second", "_b", F.posexplode("_b").alias("cycle", "_x"))
     last = F.when(F.col("cycle") > 0, F.try_element_at("_b", F.col("cycle")))
-    return x.select(*keep, "second", "cycle", F.col("_x.cur").alias("cur"), F.col("_x.qual").alias("qual"), (F.col("pos0") + F.col("_x.off")).alias("ref_pos"), F.coalesce(last["cur"], F.lit(NONE_BEFORE)).alias("prev"), (F.col("pos0") + last["off"]).alias("prev_pos"))
+    return x.select(*dict.fromkeys([*keep, "pos0"]), "second", "cycle", F.col("_x.cur").alias("cur"), F.col("_x.qual").alias("qual"), (F.col("pos0") + F.col("_x.off")).alias("ref_pos"), F.coalesce(last["cur"], F.lit(NONE_BEFORE)).alias("prev"), (F.col("pos0") + last["off"]).alias("prev_pos"))
 
 
-def covariates(reads: DataFrame, ref: DataFrame, *, sites: DataFrame | None = None, min_quality: int = MIN_QUALITY, excluded: int = EXCLUDED, keep_prev_site: bool = False, keep_prev_gap: bool = False) -> DataFrame:
+def _chunks(ref: DataFrame, sites: DataFrame | None, length: int, reach: int) -> DataFrame:
+    """ref_id, chunk, bases, known: stretches of ``length`` + ``reach`` places, so that a read lies whole in the chunk of its start.
+
+    A place without a reference base is N; ``known`` has 1 at known sites and 0 elsewhere.
+    """
+    rows = ref.select("ref_id", F.col("pos").cast("long").alias("pos"), F.upper("base").alias("base"))
+    if sites is not None:
+        rows = rows.unionByName(sites.select("ref_id", F.col("pos0").cast("long").alias("pos"), F.lit(None).cast("string").alias("base")))
+    own = F.floor(F.col("pos") / length)
+    rows = rows.withColumn("chunk", F.explode(F.when(F.col("pos") - own * length < reach, F.array(own, own - 1)).otherwise(F.array(own)))).filter("chunk >= 0")
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        bases, known = np.full(length + reach, ord("N"), np.uint8), np.full(length + reach, ord("0"), np.uint8)
+        at, base = t["pos"].to_numpy() - key[1].as_py() * length, t["base"].to_pylist()
+        for i, c in zip(at.tolist(), base, strict=True):
+            if c is None:
+                known[i] = ord("1")
+            elif c in ("A", "C", "G", "T"):
+                bases[i] = ord(c)
+        return pa.table({"ref_id": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int64()), "bases": [bases.tobytes().decode()], "known": [known.tobytes().decode()]})
+
+    return rows.withColumn("ref_id", F.col("ref_id").cast("int")).groupBy("ref_id", "chunk").applyInArrow(build, "ref_id int, chunk long, bases string, known string")
+
+
+def covariates(reads: DataFrame, ref: DataFrame, *, sites: DataFrame | None = None, min_quality: int = MIN_QUALITY, excluded: int = EXCLUDED, keep_prev_site: bool = False, keep_prev_gap: bool = False, max_span: int | None = None) -> DataFrame:
     """Matches and mismatches for each cell (rg, qual, cycle, second, prev, cur).
 
     ``ref`` has ref_id, pos, base. A base counts if it is aligned, of ``min_quality`` or more, over an unambiguous reference
     base, not at a known site, and (unless told otherwise) its previous base is the neighbour on the reference and not at a
-    known site either.
+    known site either. Each read meets its stretch of the reference once, by the chunk of its start; its bases are compared
+    there and summed by cell before the only other shuffle, so no base is shuffled. ``max_span`` is the number of reference
+    bases that a read spans at most, found by a pass over the reads where it isn't given.
     """
-    b = explode_bases(reads.filter(eligible(excluded)), ["rg", "ref_id", "flag"])
+    own = reads.filter(eligible(excluded))
+    span = cg.ref_span(F.col("cigar"))
+    reach = max_span or own.agg(F.max(span)).first()[0] or 1
+    length = max(CHUNK, 1 << (reach - 1).bit_length())
+    own = own.withColumn("_span", F.when(span > reach, F.raise_error(F.lit(f"a read spans more than {reach} reference bases"))).otherwise(span))
+    own = own.withColumn("ref_id", F.col("ref_id").cast("int")).withColumn("chunk", F.floor(F.col("pos0") / length))
+    met = own.join(_chunks(ref, sites, length, reach), ["ref_id", "chunk"])
+    part = lambda c: F.substring(c, (F.col("pos0") - F.col("chunk") * length + 1).cast("int"), F.col("_span"))
+    met = met.select("rg", "flag", "pos0", "cigar", "seq", "qual", part("bases").alias("bases"), part("known").alias("known"))
+    b = explode_bases(met, ["rg", "flag", "bases", "known"])
+    at = lambda c, place: F.substring(c, (place - F.col("pos0") + 1).cast("int"), F.lit(1))
     b = b.filter(F.col("ref_pos").isNotNull() & (F.col("qual") >= min_quality) & F.col("cur").isin(*"ACGT"))
     if not keep_prev_gap:
         b = b.filter((F.col("cycle") == 0) | F.coalesce(F.abs(F.col("ref_pos") - F.col("prev_pos")) == 1, F.lit(False)))
     b = b.filter((F.col("cycle") == 0) | F.col("prev").isin(*"ACGT"))
     if sites is not None:
-        known = sites.select("ref_id", F.col("pos0").alias("ref_pos")).distinct()
-        b = b.join(known, ["ref_id", "ref_pos"], "left_anti")
+        b = b.filter(at("known", F.col("ref_pos")) == "0")
         if not keep_prev_site:
-            b = b.join(known.withColumnRenamed("ref_pos", "prev_pos"), ["ref_id", "prev_pos"], "left_anti")
-    r = ref.select("ref_id", F.col("pos").alias("ref_pos"), F.upper("base").alias("base")).filter(F.col("base").isin(*"ACGT"))
+            b = b.filter(F.coalesce(at("known", F.col("prev_pos")) == "0", F.lit(True)))
+    base = at("bases", F.col("ref_pos"))
     # The read's strand gives the base to compare: a reverse read was complemented.
-    base = F.when(fl.has(F.col("flag"), fl.REVERSE), bs.complement(F.col("base"))).otherwise(F.col("base"))
-    # Bases at one place with one cell are summed before they meet the reference.
-    seen = b.groupBy(*CELL, "ref_id", "ref_pos", "flag").agg(F.count(F.lit(1)).alias("n"))
-    hit = seen.join(r, ["ref_id", "ref_pos"]).withColumn("same", F.col("cur") == base)
-    return hit.groupBy(*CELL).agg(F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("matches"), F.sum(F.when(~F.col("same"), F.col("n")).otherwise(0)).alias("mismatches"))
+    turned = F.when(fl.has(F.col("flag"), fl.REVERSE), bs.complement(base)).otherwise(base)
+    hit = b.filter(base.isin(*"ACGT")).select(*CELL, (F.col("cur") == turned).cast("long").alias("same"))
+    return hit.groupBy(*CELL).agg(F.sum("same").alias("matches"), F.sum(1 - F.col("same")).alias("mismatches"))
 
 
 def empirical(cells: DataFrame) -> DataFrame:
@@ -73,16 +113,65 @@ def table_lines(cells: DataFrame) -> DataFrame:
     return empirical(cells).select(F.concat_ws(",", "rg", F.col("qual").cast("string"), cycle.cast("string"), F.concat("prev", "cur"), (F.col("matches") + F.col("mismatches")).cast("string"), F.col("mismatches").cast("string"), F.col("q_emp").cast("string")).alias("value"))
 
 
-def apply(reads: DataFrame, cells: DataFrame, *, max_quality: int = MAX_QUALITY, min_quality: int = MIN_QUALITY, excluded: int = 0) -> DataFrame:
-    """``reads`` with recalibrated qualities: each base takes its cell's empirical quality, at most ``max_quality``.
+def apply(reads: DataFrame, cells: DataFrame, *, max_quality: int = MAX_QUALITY, min_quality: int = MIN_QUALITY, excluded: int = 0, quality: str = "q_emp") -> DataFrame:
+    """``reads`` with recalibrated qualities: each base takes its cell's ``quality``, at most ``max_quality``.
 
-    Bases below ``min_quality`` and those without a cell keep theirs; so do reads with an excluded bit. Cells are few (read
-    groups by qualities by cycles by base pairs), and Spark broadcasts them if their size allows.
+    ``quality`` names the empirical quality or a column of ``cells``. Bases below ``min_quality`` and those without a cell keep
+    theirs; so do reads with an excluded bit. Cells are few (read groups by qualities by cycles by base pairs): where a dense
+    table of them has up to DENSE places, executors get it whole, and every read's qualities are replaced in place, without a
+    shuffle. A larger table is joined base by base.
     """
+    q = (empirical(cells) if quality == "q_emp" else cells).select(*CELL, F.least(F.col(quality), F.lit(max_quality)).cast("int").alias("_q"))
+    groups = q.agg(F.sort_array(F.collect_set("rg")).alias("rg"), F.max("cycle").alias("cycle"))
+    groups = groups.select(F.slice("rg", 1, 65536).alias("rg"), "cycle").first()
+    cycles = (groups["cycle"] or 0) + 1
+    size = len(groups["rg"]) * 94 * cycles * 2 * 5 * 4
+    if size > DENSE:
+        return _apply_joined(reads, q, min_quality, excluded)
+    table = np.full(max(size, 1), -1, np.int8)
+    code = {c: i for i, c in enumerate("ACGT" + NONE_BEFORE)}
+    place = {g: i for i, g in enumerate(groups["rg"])}
+    got = q.filter(F.col("rg").isNotNull() & F.col("qual").between(0, 93)).toArrow()
+    key = lambda g, u, c, s, p, b: ((((g * 94 + u) * cycles + c) * 2 + s) * 5 + p) * 4 + b
+    if got.num_rows:
+        at = [np.array([place[x] for x in got["rg"].to_pylist()], np.int64), got["qual"].to_numpy(), got["cycle"].to_numpy(), np.array(got["second"]).astype(np.int64)]
+        table[key(*at, *[np.array([code[x] for x in got[c].to_pylist()], np.int64) for c in ("prev", "cur")])] = got["_q"].to_numpy()
+    held, names = reads.sparkSession.sparkContext.broadcast(table), pa.array(list(groups["rg"]), pa.string())
+    letters = np.full(256, 9, np.int64)
+    for i, c in enumerate("ACGT"):
+        letters[[ord(c), ord(c.lower())]] = i
+
+    def turned(rg: pa.Array, flag: pa.Array, seq: pa.Array, qual: pa.Array) -> pa.Array:
+        """New quality strings of reads whose bases and qualities are as many."""
+        n = pc.binary_length(qual).to_numpy(zero_copy_only=False).astype(np.int64)
+        start, f = np.cumsum(n) - n, flag.to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = lambda a: np.frombuffer("".join(a.to_pylist()).encode("latin-1"), np.uint8)
+        base, phred = letters[whole(seq)], whole(qual).astype(np.int64) - bs.OFFSET
+        back = np.repeat(f & fl.REVERSE > 0, n)
+        pos = np.arange(len(base)) - np.repeat(start, n)
+        cycle = np.where(back, np.repeat(n, n) - 1 - pos, pos)
+        cur = np.where(back & (base < 4), 3 - base, base)
+        before = np.where(back, np.append(cur[1:], 9), np.insert(cur[:-1], 0, 9)) if len(cur) else cur
+        prev = np.where(cycle == 0, 4, np.where(before < 4, before, 9))
+        group = pc.index_in(rg, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ok = (cur < 4) & (prev < 5) & (cycle < cycles) & (phred >= max(min_quality, 0)) & (phred < 94) & np.repeat(group >= 0, n)
+        new = np.where(ok, held.value[np.where(ok, key(np.repeat(group, n), phred, cycle, np.repeat(f & fl.LAST > 0, n).astype(np.int64), prev, cur), 0)], -1)
+        text = np.where(new >= 0, new, phred).astype(np.uint8) + np.uint8(bs.OFFSET)
+        return pa.StringArray.from_buffers(len(n), pa.py_buffer(np.append(start, n.sum()).astype(np.int32).tobytes()), pa.py_buffer(text.tobytes()))
+
+    @F.arrow_udf(T.StringType())
+    def renewed(rg: pa.Array, flag: pa.Array, seq: pa.Array, qual: pa.Array) -> pa.Array:
+        fine = pc.fill_null(pc.and_(pc.equal(pc.binary_length(seq), pc.binary_length(qual)), pc.not_equal(qual, "*")), False)
+        fine = pc.and_(fine, pc.equal(pc.bit_wise_and(pc.cast(flag, pa.int64()), pa.scalar(excluded, pa.int64())), 0)) if excluded else fine
+        return pc.replace_with_mask(qual, fine, turned(*[x.filter(fine) for x in (rg, flag, seq, qual)]))
+
+    return reads.withColumn("qual", renewed("rg", "flag", "seq", "qual")).select(*reads.columns)
+
+
+def _apply_joined(reads: DataFrame, q: DataFrame, min_quality: int, excluded: int) -> DataFrame:
+    """``apply`` for a table of cells that is too large to be held."""
     fine = ~fl.has(F.col("flag"), excluded) & (F.length("seq") == F.length("qual")) & (F.col("qual") != "*")
-    own = reads.filter(fine)
-    b = explode_bases(own, ["rec_idx", "rg"])
-    q = empirical(cells).select(*CELL, F.least("q_emp", F.lit(max_quality)).alias("_q"))
+    b = explode_bases(reads.filter(fine), ["rec_idx", "rg"])
     new = b.join(q, CELL, "left").select("rec_idx", "cycle", F.when((F.col("qual") < min_quality) | F.col("_q").isNull(), F.col("qual")).otherwise(F.col("_q")).alias("q"))
     strings = new.groupBy("rec_idx").agg(F.array_sort(F.collect_list(F.struct("cycle", "q"))).alias("_s"))
     joined = reads.join(strings, "rec_idx", "left")

@@ -469,10 +469,9 @@ def read_name_semi(spark, d):
     return reads(spark, d).join(names, "read_name", "left_semi").select("rec_idx", "read_name")
 
 
-@query(sql("SELECT rec_idx, CASE cigar WHEN '20M' THEN substr(seq, 6, 1) WHEN '3S17M' THEN substr(seq, 9, 1) WHEN '10M2D10M' THEN substr(seq, 6, 1) ELSE substr(seq, 6, 1) END AS base FROM r WHERE (rec_idx - 1) % 2 = 0"))
+@query(sql("SELECT rec_idx, CASE cigar WHEN '20M' THEN substr(seq, 6, 1) WHEN '3S17M' THEN substr(seq, 9, 1) WHEN '10M2D10M' THEN substr(seq, 6, 1) ELSE substr(seq, 6, 1) END AS base FROM r"))
 def base_at_position(spark, d):
-    own = reads(spark, d).filter((F.col("rec_idx") - 1) % 2 == 0)
-    return own.select("rec_idx", cg.base_at(F.col("cigar"), F.col("seq"), F.col("pos0"), F.col("pos0") + 5).alias("base"))
+    return reads(spark, d).select("rec_idx", cg.base_at(F.col("cigar"), F.col("seq"), F.col("pos0"), F.col("pos0") + 5).alias("base"))
 
 
 @query(sql("SELECT rec_idx, read_name, flag, concat('chr', CAST(ref_id AS VARCHAR)) AS ref_name, pos0, mapq, cigar, concat('chr', CAST(mate_ref_id AS VARCHAR)) AS mate_ref_name, mate_pos0, seq, qual, rg FROM r"))

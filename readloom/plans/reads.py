@@ -40,7 +40,7 @@ def with_ends(r: DataFrame) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey < 40")
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("region_no"), (F.col("p_partkey") % 5).cast("int").alias("ref_id"), (F.col("p_size") * 15).cast("int").alias("start0"), (F.col("p_size") * 15 + 25).cast("int").alias("end0_excl"))
 
 
@@ -72,7 +72,7 @@ r AS (SELECT n AS rec_idx, concat('r', CAST(p AS VARCHAR)) AS read_name,
   concat('rg', CAST(p % 3 AS VARCHAR)) AS rg,
   CAST(50 + CASE WHEN k = 0 THEN s1 ELSE s2 END + CASE p % 4 WHEN 0 THEN 19 WHEN 1 THEN 16 WHEN 2 THEN 21 ELSE 18 END AS INTEGER) AS end0,
   CASE WHEN p % 4 = 1 THEN 3 ELSE 0 END AS lead FROM n3),
-regions AS (SELECT p_partkey AS region_no, CAST(p_partkey % 5 AS INTEGER) AS ref_id, CAST(p_size * 15 AS INTEGER) AS start0, CAST(p_size * 15 + 25 AS INTEGER) AS end0_excl FROM part WHERE p_partkey < 40),
+regions AS (SELECT p_partkey AS region_no, CAST(p_partkey % 5 AS INTEGER) AS ref_id, CAST(p_size * 15 AS INTEGER) AS start0, CAST(p_size * 15 + 25 AS INTEGER) AS end0_excl FROM part),
 sites AS (SELECT DISTINCT CAST(s_suppkey % 5 AS INTEGER) AS ref_id, CAST((s_suppkey * 71) % 1000 AS INTEGER) AS pos0 FROM supplier)"""
 
 
