@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,8 +19,8 @@ CELL = ["rg", "qual", "cycle", "second", "prev", "cur"]
 EXCLUDED, MIN_QUALITY, MAX_QUALITY = 0xF04, 5, 50
 #: The previous base of the first cycle.
 NONE_BEFORE = "K"
-#: Places of a table of qualities that every executor may hold (a byte each); larger ones are joined.
-DENSE = 1 << 27
+#: Places of a table of qualities that every executor may hold (a byte each), and cells that the driver may read; larger ones are joined.
+DENSE, CELLS = 1 << 27, 1 << 22
 #: Reference bases of a chunk, at least.
 CHUNK = 1024
 
@@ -28,6 +30,38 @@ def eligible(excluded: int = EXCLUDED) -> Column:
     return ~fl.has(F.col("flag"), excluded) & ~F.col("mapq").isin(0, 255) & (F.col("ref_id") >= 0) & (F.length("seq") == F.length("qual"))
 
 
+_CODE = np.full(256, 9, np.int64)
+for _i, _c in enumerate("ACGT"):
+    _CODE[[ord(_c), ord(_c.lower())]] = _i
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of ASCII strings back to back."""
+    _, ends, data = column.buffers()
+    wide = pa.types.is_large_string(column.type)
+    at = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _sequenced(flag: pa.Array, seq: pa.Array, qual: pa.Array) -> dict:
+    """Bases of reads back to back, with as many qualities: n of each read, and flat arrays; codes are 0-3 for ACGT, 4 for none before."""
+    n = pc.binary_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
+    f = flag.to_numpy(zero_copy_only=False).astype(np.int64)
+    base, phred = _CODE[_bytes(seq)], _bytes(qual).astype(np.int64) - bs.OFFSET
+    back = np.repeat(f & fl.REVERSE > 0, n)
+    pos = np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
+    cycle = np.where(back, np.repeat(n, n) - 1 - pos, pos)
+    # The base sequenced before: on the left of a forward read's base, on the right of a reverse read's.
+    earlier = np.clip(np.arange(len(base)) + np.where(back, 1, -1), 0, max(len(base) - 1, 0))
+    cur = np.where(back & (base < 4), 3 - base, base)
+    return {"n": n, "phred": phred, "back": back, "cycle": cycle, "earlier": earlier, "cur": cur, "prev": np.where(cycle == 0, 4, np.where(cur[earlier] < 4, cur[earlier], 9)), "second": np.repeat(f & fl.LAST > 0, n).astype(np.int64)}
+
+
+def _place(group, phred, cycles, cycle, second, prev, cur):
+    """The number of a cell."""
+    return ((((group * 94 + phred) * cycles + cycle) * 2 + second) * 5 + prev) * 4 + cur
+
+
 def explode_bases(reads: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each base in the order of sequencing: cycle from 0, cur, prev, qual, ref_pos and prev_pos (null if not aligned).
 
@@ -85,22 +119,73 @@ def covariates(reads: DataFrame, ref: DataFrame, *, sites: DataFrame | None = No
     own = own.withColumn("ref_id", F.col("ref_id").cast("int")).withColumn("chunk", F.floor(F.col("pos0") / length))
     met = own.join(_chunks(ref, sites, length, reach), ["ref_id", "chunk"])
     part = lambda c: F.substring(c, (F.col("pos0") - F.col("chunk") * length + 1).cast("int"), F.col("_span"))
-    met = met.select("rg", "flag", "pos0", "cigar", "seq", "qual", part("bases").alias("bases"), part("known").alias("known"))
-    b = explode_bases(met, ["rg", "flag", "bases", "known"])
-    at = lambda c, place: F.substring(c, (place - F.col("pos0") + 1).cast("int"), F.lit(1))
-    b = b.filter(F.col("ref_pos").isNotNull() & (F.col("qual") >= min_quality) & F.col("cur").isin(*"ACGT"))
-    if not keep_prev_gap:
-        b = b.filter((F.col("cycle") == 0) | F.coalesce(F.abs(F.col("ref_pos") - F.col("prev_pos")) == 1, F.lit(False)))
-    b = b.filter((F.col("cycle") == 0) | F.col("prev").isin(*"ACGT"))
-    if sites is not None:
-        b = b.filter(at("known", F.col("ref_pos")) == "0")
-        if not keep_prev_site:
-            b = b.filter(F.coalesce(at("known", F.col("prev_pos")) == "0", F.lit(True)))
-    base = at("bases", F.col("ref_pos"))
-    # The read's strand gives the base to compare: a reverse read was complemented.
-    turned = F.when(fl.has(F.col("flag"), fl.REVERSE), bs.complement(base)).otherwise(base)
-    hit = b.filter(base.isin(*"ACGT")).select(*CELL, (F.col("cur") == turned).cast("long").alias("same"))
-    return hit.groupBy(*CELL).agg(F.sum("same").alias("matches"), F.sum(1 - F.col("same")).alias("mismatches"))
+    met = met.select("rg", "flag", "cigar", "seq", "qual", part("bases").alias("bases"), part("known").alias("known"))
+    gap, site = not keep_prev_gap, not keep_prev_site
+    ddl = "rg string, qual int, cycle int, second boolean, prev string, cur string, matches long, mismatches long"
+
+    def count(batches):
+        memo: dict = {}
+
+        def offsets(cigar: str | None, n: int) -> np.ndarray:
+            if (cigar, n) not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
+                memo[cigar, n] = _offsets(cigar, n)
+            return memo[cigar, n]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rg, flag, cigar, seq, qual, bases, known = batch.columns
+            x = _sequenced(flag, seq, qual)
+            n = x["n"]
+            off = np.concatenate([offsets(c, k) for c, k in zip(cigar.to_pylist(), n.tolist(), strict=True)])
+            own = np.repeat(np.arange(len(n)), n)
+            size = pc.binary_length(bases).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = (np.cumsum(size) - size)[own] + np.maximum(off, 0)
+            first = x["cycle"] == 0
+            before = np.where(first, -1, off[x["earlier"]]) if len(off) else off
+            free = _bytes(known) == ord("0")
+            ref = _CODE[_bytes(bases)]
+            inside = np.flatnonzero((off >= 0) & (off < size[own]) & (x["phred"] >= min_quality) & (x["cur"] < 4) & (first | (x["prev"] < 4)))
+            inside = inside[(ref[at[inside]] < 4) & free[at[inside]]]
+            if gap:
+                inside = inside[first[inside] | ((before[inside] >= 0) & (np.abs(off[inside] - before[inside]) == 1))]
+            if site:
+                inside = inside[(before[inside] < 0) | free[at[inside] - off[inside] + np.maximum(before[inside], 0)]]
+            if not len(inside):
+                continue
+            names = pc.dictionary_encode(rg, null_encoding="encode")
+            y = {k: v[inside] for k, v in x.items() if k != "n"}
+            cycles = int(x["cycle"].max()) + 1
+            r = ref[at[inside]]
+            key, back = np.unique(_place(names.indices.to_numpy()[own[inside]].astype(np.int64), y["phred"], cycles, y["cycle"], y["second"], y["prev"], y["cur"]), return_inverse=True)
+            total = np.bincount(back)
+            same = np.bincount(back, np.where(y["back"], 3 - r, r) == y["cur"]).astype(np.int64)
+            key, cur = divmod(key, 4)
+            key, prev = divmod(key, 5)
+            key, second = divmod(key, 2)
+            key, cycle = divmod(key, cycles)
+            group, phred = divmod(key, 94)
+            letters = pa.array(list("ACGT" + NONE_BEFORE))
+            cells = [names.dictionary.take(pa.array(group)), *[pa.array(v.astype(np.int32)) for v in (phred, cycle)], pa.array(second.astype(bool)), letters.take(pa.array(prev)), letters.take(pa.array(cur)), pa.array(same), pa.array(total - same)]
+            yield pa.RecordBatch.from_arrays(cells, names=[*CELL, "matches", "mismatches"])
+
+    return met.mapInArrow(count, ddl).groupBy(*CELL).agg(F.sum("matches").alias("matches"), F.sum("mismatches").alias("mismatches"))
+
+
+def _offsets(cigar: str | None, n: int) -> np.ndarray:
+    """Of each of a read's n bases the offset from the alignment's start, -1 where it isn't aligned."""
+    out, at = [np.zeros(0, np.int64)], 0
+    for size, op in re.findall(cg.PATTERN, cigar or "*"):
+        if op in cg.MATCH_OPS:
+            out.append(np.arange(at, at + int(size)))
+        elif op in "IS":
+            out.append(np.full(int(size), -1))
+        if op in cg.REF_OPS:
+            at += int(size)
+    got = np.concatenate(out)[:n]
+    return np.concatenate([got, np.full(n - len(got), -1)]).astype(np.int64)
 
 
 def empirical(cells: DataFrame) -> DataFrame:
@@ -122,42 +207,31 @@ def apply(reads: DataFrame, cells: DataFrame, *, max_quality: int = MAX_QUALITY,
     shuffle. A larger table is joined base by base.
     """
     q = (empirical(cells) if quality == "q_emp" else cells).select(*CELL, F.least(F.col(quality), F.lit(max_quality)).cast("int").alias("_q"))
-    groups = q.agg(F.sort_array(F.collect_set("rg")).alias("rg"), F.max("cycle").alias("cycle"))
-    groups = groups.select(F.slice("rg", 1, 65536).alias("rg"), "cycle").first()
-    cycles = (groups["cycle"] or 0) + 1
-    size = len(groups["rg"]) * 94 * cycles * 2 * 5 * 4
-    if size > DENSE:
+    got = q.filter(F.col("rg").isNotNull() & F.col("qual").between(0, 93)).limit(CELLS + 1).toArrow()
+    groups = sorted(set(got["rg"].to_pylist()))
+    cycles = (pc.max(got["cycle"]).as_py() or 0) + 1
+    size = max(len(groups) * 94 * cycles * 2 * 5 * 4, 1)
+    if size > DENSE or got.num_rows > CELLS:
         return _apply_joined(reads, q, min_quality, excluded)
-    table = np.full(max(size, 1), -1, np.int8)
-    code = {c: i for i, c in enumerate("ACGT" + NONE_BEFORE)}
-    place = {g: i for i, g in enumerate(groups["rg"])}
-    got = q.filter(F.col("rg").isNotNull() & F.col("qual").between(0, 93)).toArrow()
-    key = lambda g, u, c, s, p, b: ((((g * 94 + u) * cycles + c) * 2 + s) * 5 + p) * 4 + b
+    table = np.full(size, -1, np.int8)
     if got.num_rows:
-        at = [np.array([place[x] for x in got["rg"].to_pylist()], np.int64), got["qual"].to_numpy(), got["cycle"].to_numpy(), np.array(got["second"]).astype(np.int64)]
-        table[key(*at, *[np.array([code[x] for x in got[c].to_pylist()], np.int64) for c in ("prev", "cur")])] = got["_q"].to_numpy()
-    held, names = reads.sparkSession.sparkContext.broadcast(table), pa.array(list(groups["rg"]), pa.string())
-    letters = np.full(256, 9, np.int64)
-    for i, c in enumerate("ACGT"):
-        letters[[ord(c), ord(c.lower())]] = i
+        code = pa.array(list("ACGT" + NONE_BEFORE))
+        place = lambda c, values: pc.index_in(got[c], value_set=values).to_numpy().astype(np.int64)
+        second = got["second"].to_numpy().astype(np.int64)
+        table[_place(place("rg", pa.array(groups)), got["qual"].to_numpy(), cycles, got["cycle"].to_numpy(), second, place("prev", code), place("cur", code))] = got["_q"].to_numpy()
+    held, names = reads.sparkSession.sparkContext.broadcast(table), pa.array(groups, pa.string())
 
     def turned(rg: pa.Array, flag: pa.Array, seq: pa.Array, qual: pa.Array) -> pa.Array:
         """New quality strings of reads whose bases and qualities are as many."""
-        n = pc.binary_length(qual).to_numpy(zero_copy_only=False).astype(np.int64)
-        start, f = np.cumsum(n) - n, flag.to_numpy(zero_copy_only=False).astype(np.int64)
-        whole = lambda a: np.frombuffer("".join(a.to_pylist()).encode("latin-1"), np.uint8)
-        base, phred = letters[whole(seq)], whole(qual).astype(np.int64) - bs.OFFSET
-        back = np.repeat(f & fl.REVERSE > 0, n)
-        pos = np.arange(len(base)) - np.repeat(start, n)
-        cycle = np.where(back, np.repeat(n, n) - 1 - pos, pos)
-        cur = np.where(back & (base < 4), 3 - base, base)
-        before = np.where(back, np.append(cur[1:], 9), np.insert(cur[:-1], 0, 9)) if len(cur) else cur
-        prev = np.where(cycle == 0, 4, np.where(before < 4, before, 9))
-        group = pc.index_in(rg, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        ok = (cur < 4) & (prev < 5) & (cycle < cycles) & (phred >= max(min_quality, 0)) & (phred < 94) & np.repeat(group >= 0, n)
-        new = np.where(ok, held.value[np.where(ok, key(np.repeat(group, n), phred, cycle, np.repeat(f & fl.LAST > 0, n).astype(np.int64), prev, cur), 0)], -1)
+        x = _sequenced(flag, seq, qual)
+        n, phred = x["n"], x["phred"]
+        group = np.repeat(pc.index_in(rg, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), n)
+        ok = (x["cur"] < 4) & (x["prev"] < 5) & (x["cycle"] < cycles) & (phred >= max(min_quality, 0)) & (phred < 94) & (group >= 0)
+        at = np.where(ok, _place(group, phred, cycles, x["cycle"], x["second"], x["prev"], x["cur"]), 0)
+        new = np.where(ok, held.value[at], -1)
         text = np.where(new >= 0, new, phred).astype(np.uint8) + np.uint8(bs.OFFSET)
-        return pa.StringArray.from_buffers(len(n), pa.py_buffer(np.append(start, n.sum()).astype(np.int32).tobytes()), pa.py_buffer(text.tobytes()))
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes()))
 
     @F.arrow_udf(T.StringType())
     def renewed(rg: pa.Array, flag: pa.Array, seq: pa.Array, qual: pa.Array) -> pa.Array:

@@ -373,7 +373,7 @@ def _reference(spark):
 
 
 def _cells(spark, d):
-    return recab.covariates(reads(spark, d), _reference(spark), sites=sites(spark, d))
+    return recab.covariates(reads(spark, d), _reference(spark), sites=sites(spark, d), max_span=22)
 
 
 @query(sql("SELECT * FROM cv", RECAB))
