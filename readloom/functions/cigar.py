@@ -74,6 +74,19 @@ def ref_offsets(cigar: Column) -> Column:
     return F.aggregate(F.filter(ops(cigar), lambda o: o["len"] > 0), start, step)["out"]
 
 
+def query_indices(cigar: Column) -> Column:
+    """For each reference base that a read spans the index of its query base, -1 at deletions and skips: array<int>."""
+    step = lambda a, o: F.struct(
+        F.when(o["op"].isin(*MATCH_OPS), F.concat(a["out"], F.transform(F.sequence(F.lit(0), o["len"] - 1), lambda i: (i + a["q"]).cast("int"))))
+        .when(o["op"].isin(*REF_OPS), F.concat(a["out"], F.array_repeat(F.lit(-1), o["len"])))
+        .otherwise(a["out"])
+        .alias("out"),
+        (a["q"] + F.when(o["op"].isin(*QUERY_OPS), o["len"]).otherwise(0)).alias("q"),
+    )
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("q"))
+    return F.aggregate(F.filter(ops(cigar), lambda o: o["len"] > 0), start, step)["out"]
+
+
 def base_at(cigar: Column, seq: Column, pos0: Column, at: Column | int) -> Column:
     """The read's base at a reference position, null where it has none."""
     offset = (F.lit(at) if isinstance(at, int) else at) - pos0

@@ -115,3 +115,19 @@ def clip(reads: DataFrame, *, by_name: bool = False, excluded: int = mates.OVERL
 def statistics(reads: DataFrame, **options) -> DataFrame:
     """One row: number of overlapping pairs, mean and sample variance of the overlap."""
     return pairs(reads, **options).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(F.var_samp("overlap"), 6).alias("var_overlap"))
+
+
+def clip_counts(reads: DataFrame, *, by_name: bool = False, excluded: int = mates.OVERLAP_EXCLUDED) -> DataFrame:
+    """One row: pairs whose orientation costs more than the overlap, pairs of which the forward or the reverse read is clipped,
+    and reads that overlap a mate which isn't there.
+    """
+    rev = lambda i: fl.has(F.col(f"flag{i}"), fl.REVERSE)
+    p = pairs(reads, by_name=by_name, excluded=excluded)
+    p = p.withColumn("_c", resolve_udf("cigar1", "pos01", "qual1", rev(1), "cigar2", "pos02", "qual2", rev(2)))
+    loser = F.when(F.col("_c.loser") == 1, rev(1)).otherwise(rev(2))
+    n = lambda x: F.count_if(x).cast("long")
+    counts = p.agg(n(rev(1) & ~rev(2)).alias("n_orientation"), n(~loser).alias("n_forward_clipped"), n(loser).alias("n_reverse_clipped"))
+    found = p.select(F.explode(F.array("rec_idx1", "rec_idx2")).alias("rec_idx"))
+    expected = reads.filter(mates.overlap_class(excluded).isin("OVERLAP", "SAME_START"))
+    missing = expected.join(found, "rec_idx", "left_anti").agg(F.count(F.lit(1)).alias("n_missing_mates"))
+    return counts.withColumn("_one", F.lit(1)).join(missing.withColumn("_one", F.lit(1)), "_one").drop("_one")

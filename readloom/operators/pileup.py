@@ -18,10 +18,8 @@ def cover(reads: DataFrame) -> DataFrame:
 
     Only what the counters need goes through the explode.
     """
-    r = reads.filter(F.col("ref_id") >= 0).select("ref_id", "pos0", "flag", "mapq", cg.ref_offsets(F.col("cigar")).alias("_off"), F.when(F.col("cigar") == "*", 1).otherwise(cg.ref_span(F.col("cigar"))).alias("_span"), "qual")
-    # Query index by reference offset; -1 where no base is.
-    place = F.transform(F.sequence(F.lit(0), F.col("_span") - 1), lambda o: (F.coalesce(F.array_position("_off", o.cast("int")), F.lit(0)) - 1).cast("int"))
-    r = r.filter("_span > 0").select("ref_id", "pos0", "flag", "mapq", "qual", F.posexplode(place).alias("_o", "_q"))
+    place = F.when(F.col("cigar") == "*", F.array(F.lit(-1))).otherwise(cg.query_indices(F.col("cigar")))
+    r = reads.filter(F.col("ref_id") >= 0).select("ref_id", "pos0", "flag", "mapq", "qual", F.posexplode(place).alias("_o", "_q"))
     return r.select("ref_id", (F.col("pos0") + F.col("_o")).alias("pos"), "flag", "mapq", F.when((F.col("_q") >= 0) & (F.col("qual") != "*"), F.ascii(F.substring("qual", F.col("_q") + 1, F.lit(1)))).alias("code"), (F.col("_q") >= 0).alias("has_base"))
 
 
@@ -41,7 +39,7 @@ def qc(reads: DataFrame, *, min_mapq: int = 0, required: int = 0, excluded: int
     return c.groupBy("ref_id", "pos").agg(
         F.count(F.lit(1)).alias("total_reads"), n(fl.has(f, fl.DUPLICATE)).alias("dups"), n(fl.has(f, fl.QC_FAIL)).alias("qc_fail"), n(fine).alias("mapped"), n(fine & fl.has(f, fl.PAIRED)).alias("paired"),
         n(fine & fl.has_all(f, fl.PAIRED | fl.PROPER)).alias("proper_pair"), n(fine & (F.col("mapq") == 0)).alias("zero_mapq"), n(fine & (F.col("mapq") < 10)).alias("low_mapq"),
-        n(fine & ((F.col("mapq") >= min_mapq) | (F.col("mapq") == 255))).alias("pass_mapq"), n(fine & (F.col("mapq") == 255)).alias("mapq_255"), F.round(F.avg(F.when(known, F.col("mapq"))), 6).alias("avg_mapq"),
+        n(fine & ((F.col("mapq") >= min_mapq) | (F.col("mapq") == 255))).alias("pass_mapq"), n(fine & (F.col("mapq") == 255)).alias("mapq_255"), F.round(F.avg(F.when(known, F.col("mapq"))), 6).alias("avg_mapq"), n(known).alias("avg_mapq_count"),
         n(deep).alias("depth"), n(deep & (F.col("code") >= Q20)).alias("q20_bases"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bases as bs
 from ..functions import flags as fl
@@ -26,8 +27,12 @@ def check_groups(reads: DataFrame, groups: DataFrame, rg: str = "rg") -> DataFra
 
 
 def write_by(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") -> None:
-    """One folder for each key value; rows are dealt by key and a salt first, so files are few and no key is in one task alone."""
-    salted = df.withColumn("_salt", F.floor(F.rand(7) * 16).cast("int"))
+    """One folder for each key value; rows are dealt by key and a salt first, so files are few and no key is in one task alone.
+
+    The salt is a hash of the row, so a task that runs again deals its rows alike. Maps can't be hashed and don't count.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(16)).cast("int"))
     salted.repartition(*keys, "_salt").drop("_salt").write.partitionBy(*keys).mode("overwrite").format(fmt).save(path)
 
 

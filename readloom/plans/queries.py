@@ -325,7 +325,7 @@ pl AS (SELECT *, pos0 + o AS pos, CASE cigar WHEN '20M' THEN o + 1 WHEN '3S17M'
 x AS (SELECT *, flag & 1540 = 0 AS fine, flag & 1540 = 0 AND mapq <> 255 AS known, flag & 1540 = 0 AND mapq <> 255 AND mapq >= 20 AND q IS NOT NULL AS deep FROM pl),
 pq AS (SELECT ref_id, pos, count(*) AS total_reads, count(*) FILTER (WHERE flag & 1024 > 0) AS dups, count(*) FILTER (WHERE flag & 512 > 0) AS qc_fail, count(*) FILTER (WHERE fine) AS mapped, count(*) FILTER (WHERE fine AND flag & 1 > 0) AS paired,
  count(*) FILTER (WHERE fine AND flag & 3 = 3) AS proper_pair, count(*) FILTER (WHERE fine AND mapq = 0) AS zero_mapq, count(*) FILTER (WHERE fine AND mapq < 10) AS low_mapq, count(*) FILTER (WHERE fine AND mapq >= 20) AS pass_mapq, count(*) FILTER (WHERE fine AND mapq = 255) AS mapq_255,
- round(avg(mapq) FILTER (WHERE known), 6) AS avg_mapq, count(*) FILTER (WHERE deep) AS depth, count(*) FILTER (WHERE deep AND ascii(substr(qual, q, 1)) >= 53) AS q20_bases FROM x GROUP BY ref_id, pos)"""
+ round(avg(mapq) FILTER (WHERE known), 6) AS avg_mapq, count(*) FILTER (WHERE known) AS avg_mapq_count, count(*) FILTER (WHERE deep) AS depth, count(*) FILTER (WHERE deep AND ascii(substr(qual, q, 1)) >= 53) AS q20_bases FROM x GROUP BY ref_id, pos)"""
 
 
 @query(sql("SELECT ref_id, pos, count(*) AS depth FROM pl WHERE q IS NOT NULL AND flag & 1540 = 0 GROUP BY ref_id, pos", PILE))

@@ -76,9 +76,16 @@ def tumbling(events: DataFrame, keys: list[str], ts: str, delay: str, width: str
     return w.agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total")).select(F.col("w.start").alias("bucket"), *keys, "n_events", "total")
 
 
-def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process all that is there and end; exactly once into Parquet."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+def late_rows(query) -> int:
+    """Rows that came behind the watermark and so were dropped by the query's stateful operators, in the progress it remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Process all that is there and end; exactly once into Parquet. Returns the number of late rows."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return late_rows(query)
 
 
 def two_pass(stream: DataFrame, handle, checkpoint: str) -> None:

@@ -84,7 +84,9 @@ def findCigars(reads: DataFrame, *, cinsert: bool = False, cdel: bool = False, c
 
 def clipOverlap(reads: DataFrame, *, storeOrig: str | None = None, readName: bool = False, overlapsOnly: bool = False, excludeFlags: int = mates.OVERLAP_EXCLUDED, unmapped: bool = False, stats: bool = False) -> DataFrame:
     if stats:
-        return overlap.statistics(reads, by_name=readName, excluded=excludeFlags)
+        one = lambda df: df.withColumn("_one", F.lit(1))
+        own = {"by_name": readName, "excluded": excludeFlags}
+        return one(overlap.statistics(reads, **own)).join(one(overlap.clip_counts(reads, **own)), "_one").drop("_one")
     out = overlap.clip(reads, by_name=readName, excluded=excludeFlags, unmapped=unmapped, store_original=storeOrig)
     if overlapsOnly:
         both = overlap.pairs(reads, by_name=readName, excluded=excludeFlags).select(F.explode(F.array("rec_idx1", "rec_idx2")).alias("rec_idx"))
@@ -193,18 +195,17 @@ def dedup(reads: DataFrame, *, minQual: int = dd.MIN_QUALITY, oneChrom: bool = F
 dedup_LowMem = dedup
 
 
-def recalibrate(reads: DataFrame, refFile: DataFrame, *, dbsnp: DataFrame | None = None, minBaseQual: int = rc.MIN_QUALITY, maxBaseQual: int = rc.MAX_QUALITY, fitModel: bool = False, keepPrevDbsnp: bool = False, keepPrevNonAdjacent: bool = False, qualField: str | None = None, storeQualTag: str | None = None, buildExcludeFlags: int = rc.EXCLUDED, applyExcludeFlags: int = 0) -> DataFrame:
+def recalibrate(reads: DataFrame, refFile: DataFrame, *, dbsnp: DataFrame | None = None, minBaseQual: int = rc.MIN_QUALITY, maxBaseQual: int = rc.MAX_QUALITY, fitModel: bool = False, useLogReg: bool = False, keepPrevDbsnp: bool = False, keepPrevNonAdjacent: bool = False, qualField: str | None = None, storeQualTag: str | None = None, buildExcludeFlags: int = rc.EXCLUDED, applyExcludeFlags: int = 0) -> DataFrame:
     """Records with recalibrated qualities; refFile: ref_id, pos, base. ``rg`` is taken from the RG tag where it isn't a column."""
     own = rewrite.quality_from_tag(reads, qualField).drop("fell_back") if qualField else reads
     own = own if "rg" in own.columns else own.withColumn("rg", F.coalesce(tg.value(F.col("tags"), "RG"), F.lit("")))
     cells = rc.covariates(own, refFile, sites=dbsnp, min_quality=minBaseQual, excluded=buildExcludeFlags, keep_prev_site=keepPrevDbsnp, keep_prev_gap=keepPrevNonAdjacent)
-    if fitModel:
-        # The model's quality in the form of counts, which give it back when the table is applied.
-        q = rc.predicted_quality(rc.logistic_fit(cells)["weights"])
-        cells = cells.withColumn("mismatches", F.lit(0).cast("long")).withColumn("matches", F.round(F.pow(F.lit(10.0), q / 10) - 1).cast("long"))
+    quality = "q_emp"
+    if fitModel or useLogReg:
+        cells, quality = cells.withColumn("q_model", rc.predicted_quality(rc.logistic_fit(cells)["weights"])), "q_model"
     if storeQualTag:
         own = rewrite.store_original(own, storeQualTag, "qual")
-    return rc.apply(own, cells, max_quality=maxBaseQual, min_quality=minBaseQual, excluded=applyExcludeFlags).select(*reads.columns)
+    return rc.apply(own, cells, max_quality=maxBaseQual, min_quality=minBaseQual, excluded=applyExcludeFlags, quality=quality).select(*reads.columns)
 
 
 recab = recalibrate

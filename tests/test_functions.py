@@ -102,3 +102,19 @@ def test_tags(spark):
     assert got.s == "NM:Z:x\tNM:A:2\tRG:Z:c" and got.n == 2 and got.r == "c" and got.rest == "NM:Z:x"
     assert got.put == "NM:Z:x\tNM:A:2\tRG:Z:d"
     assert tg.names("XT:Z,NM:i;RG") == ["XT:Z", "NM:i", "RG"]
+
+
+def test_output_names():
+    from readloom.functions import names
+
+    assert names.without_extension("a/b.c.sam") == "a/b.c" and names.without_extension("a.b/c") == "a.b/c" and names.without_extension("d/.x") == "d/.x"
+    assert names.stem("/p/q/in1.sam") == "in1" and names.stem("plain") == "plain"
+    assert names.diff_outputs("o/d.sam", "x/in1.sam", "in2") == ("o/d.sam", "o/d_only1_in1.sam", "o/d_only2_in2.sam")
+    assert names.fastq_outputs("x/r.sam", gzip=True) == {"first": "x/r_1.fastq.gz", "second": "x/r_2.fastq.gz", "unpaired": "x/r.fastq.gz"}
+
+
+def test_query_indices(spark):
+    from readloom.functions import cigar as cg
+
+    rows = spark.createDataFrame([("3M",), ("2S2M1D1M",), ("1M2I1M2N1M3H",), ("*",), (None,)], "cigar string")
+    assert [r[0] for r in rows.select(cg.query_indices(F.col("cigar"))).collect()] == [[0, 1, 2], [2, 3, -1, 4], [0, 3, -1, -1, 4], [], []]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from readloom import tools
 from readloom.functions import cigar as cg
 from readloom.functions import tags as tg
-from readloom.operators import dedup, diff, intervals, mates, merge, ordering, overlap, pileup, rewrite, split, stats, validate
+from readloom.operators import dedup, diff, intervals, mates, merge, ordering, overlap, pileup, recab, rewrite, split, stats, validate
 
 COLUMNS = "rec_idx long, read_name string, flag int, ref_id int, pos0 int, mapq int, cigar string, mate_ref_id int, mate_pos0 int, seq string, qual string"
 
@@ -252,3 +253,61 @@ def test_tools(spark):
         tools.findCigars(reads)
     assert set(tools.stats(reads, basic=True, qual=True, cBaseQC=True, baseSum=True)) == {"basic", "qual", "cBaseQC", "baseSum"}
     assert tools.explainFlags("0x63")[0] == "paired" and tools.gapInfo(reads, detailed=True).columns[0] == "rec_idx"
+
+
+def test_recalibration_in_place_equals_the_join(spark, monkeypatch):
+    """Reverse reads, unknown letters and groups, several cigars, reads over a chunk's border, and a table that is too large to hold."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        cigar = rng.choice(["12M", "2S10M", "5M1I6M", "4M3D8M", "3M2N9M", "*"])
+        seq = "".join(rng.choice("ACGTACGTNacg") for _ in range(12))
+        qual = "*" if i % 13 == 0 else "".join(chr(33 + rng.choice([2, 5, 20, 30, 41])) for _ in range(12 if i % 11 else 9))
+        rows.append((i, rng.choice([0, 16, 1 + 64, 1 + 128 + 16, 4]), 0 if i % 9 else -1, 1015 + i % 12, rng.choice([0, 60, 255, 30]), cigar, seq, qual, rng.choice(["a", "b", None])))
+    reads = spark.createDataFrame(rows, "rec_idx long, flag int, ref_id int, pos0 int, mapq int, cigar string, seq string, qual string, rg string")
+    bases = {p: "ACGTN"[(p * 7) % 5] for p in range(1000, 1060)}
+    ref = spark.createDataFrame([(0, p, c) for p, c in bases.items()], "ref_id int, pos int, base string")
+    sites = spark.createDataFrame([(0, 1020), (0, 1024), (0, 1025)], "ref_id int, pos0 int")
+    cells = recab.covariates(reads, ref, sites=sites).cache()
+
+    def brute():
+        out, comp = {}, dict(zip("ACGT", "TGCA"))
+        for _, flag, ref_id, pos, mapq, cigar, seq, qual, rg in rows:
+            if flag & 0xF04 or mapq in (0, 255) or ref_id < 0 or len(seq) != len(qual):
+                continue
+            off = []
+            at = 0
+            for n, op in re.findall(r"(\d+)([MIDNS])", cigar):
+                for _ in range(int(n)):
+                    if op in "MIS":
+                        off.append(at if op == "M" else None)
+                    if op in "MDN":
+                        at += 1
+            off += [None] * (len(seq) - len(off))
+            b = [(comp.get(c, c) if flag & 16 else c, ord(q) - 33, o) for c, q, o in zip(seq.upper(), qual, off)]
+            b = b[::-1] if flag & 16 else b
+            for i, (c, q, o) in enumerate(b):
+                if o is None or q < 5 or c not in comp or bases.get(pos + o, "N") == "N" or pos + o in (1020, 1024, 1025):
+                    continue
+                prev = b[i - 1] if i else ("K", 0, None)
+                if i and (prev[0] not in comp or prev[2] is None or abs(prev[2] - o) != 1 or pos + prev[2] in (1020, 1024, 1025)):
+                    continue
+                r = comp[bases[pos + o]] if flag & 16 else bases[pos + o]
+                cell = out.setdefault((rg, q, i, bool(flag & 128), prev[0], c), [0, 0])
+                cell[r != c] += 1
+        return out
+
+    assert {(r.rg, r.qual, r.cycle, r.second, r.prev, r.cur): [r.matches, r.mismatches] for r in cells.collect()} == brute() and cells.count() > 10
+    held = sorted(map(tuple, recab.apply(reads, cells).select("rec_idx", "qual").collect()))
+    monkeypatch.setattr(recab, "DENSE", 1)
+    assert sorted(map(tuple, recab.apply(reads, cells).select("rec_idx", "qual").collect())) == held
+    assert recab.apply(reads.limit(0), cells).count() == 0 and recab.covariates(reads.limit(0), ref).count() == 0
+    assert [r.qual for r in recab.apply(reads, cells.limit(0)).orderBy("rec_idx").collect()] == [r[7] for r in rows]
+
+
+def test_overlap_counts_by_strand(spark):
+    rows = [(1, "p", 1 + 64 + 32, 0, 10, 0, 15, "10M", "ACGTACGTAC", "IIIIIIIIII"), (2, "p", 1 + 128 + 16, 0, 15, 0, 10, "10M", "ACGTACGTAC", "##########"), (3, "q", 1 + 64 + 16, 0, 30, 0, 32, "10M", "ACGTACGTAC", "##########"), (4, "q", 1 + 128 + 32, 0, 32, 0, 30, "10M", "ACGTACGTAC", "IIIIIIIIII"), (5, "z", 1 + 64, 0, 50, 0, 52, "10M", "ACGTACGTAC", "IIIIIIIIII")]
+    reads = spark.createDataFrame([(*r[:8], 60, *r[8:]) for r in rows], "rec_idx long, read_name string, flag int, ref_id int, pos0 int, mate_ref_id int, mate_pos0 int, cigar string, mapq int, seq string, qual string")
+    assert overlap.clip_counts(reads).first().asDict() == {"n_orientation": 1, "n_forward_clipped": 0, "n_reverse_clipped": 2, "n_missing_mates": 1}

@@ -113,3 +113,14 @@ def test_index(spark, tmp_path):
 def test_tag_column(spark, path):
     reads, _ = sam.read(spark, path, "DROPMALFORMED")
     assert [r.g for r in reads.orderBy("rec_idx").select(tg.value(F.col("tags"), "RG").alias("g")).collect()] == ["a", "b", None]
+
+
+def test_summary_sink_and_errors(spark, tmp_path):
+    from readloom.sources import log
+
+    counts = spark.createDataFrame([(3, None, 0.5)], "total long, missing long, rate double")
+    log.write_summary(counts, str(tmp_path / "log"), "Run")
+    assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["Run", "total\t3", "missing\t", "rate\t0.5"]
+    with pytest.raises(log.ToolError) as e:
+        log.error("bad input", 7)
+    assert e.value.status == 7
