@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import flags as fl
+from ..functions.bases import OFFSET
+from ..functions.flags import LAST, REVERSE
+from ..functions.surgery import MATCH_OPS, PATTERN, REF_OPS
 
 CELL = ["rg", "qual", "cycle", "second", "prev", "cur"]
 EXCLUDED, MIN_QUALITY, MAX_QUALITY = 0xF04, 5, 50
@@ -30,6 +33,7 @@ def eligible(excluded: int = EXCLUDED) -> Column:
     return ~fl.has(F.col("flag"), excluded) & ~F.col("mapq").isin(0, 255) & (F.col("ref_id") >= 0) & (F.length("seq") == F.length("qual"))
 
 
+# What tasks run refers to plain values only, not to modules: the package travels by value, and a module's UDFs hold a session.
 _CODE = np.full(256, 9, np.int64)
 for _i, _c in enumerate("ACGT"):
     _CODE[[ord(_c), ord(_c.lower())]] = _i
@@ -47,14 +51,14 @@ def _sequenced(flag: pa.Array, seq: pa.Array, qual: pa.Array) -> dict:
     """Bases of reads back to back, with as many qualities: n of each read, and flat arrays; codes are 0-3 for ACGT, 4 for none before."""
     n = pc.binary_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
     f = flag.to_numpy(zero_copy_only=False).astype(np.int64)
-    base, phred = _CODE[_bytes(seq)], _bytes(qual).astype(np.int64) - bs.OFFSET
-    back = np.repeat(f & fl.REVERSE > 0, n)
+    base, phred = _CODE[_bytes(seq)], _bytes(qual).astype(np.int64) - OFFSET
+    back = np.repeat(f & REVERSE > 0, n)
     pos = np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
     cycle = np.where(back, np.repeat(n, n) - 1 - pos, pos)
     # The base sequenced before: on the left of a forward read's base, on the right of a reverse read's.
     earlier = np.clip(np.arange(len(base)) + np.where(back, 1, -1), 0, max(len(base) - 1, 0))
     cur = np.where(back & (base < 4), 3 - base, base)
-    return {"n": n, "phred": phred, "back": back, "cycle": cycle, "earlier": earlier, "cur": cur, "prev": np.where(cycle == 0, 4, np.where(cur[earlier] < 4, cur[earlier], 9)), "second": np.repeat(f & fl.LAST > 0, n).astype(np.int64)}
+    return {"n": n, "phred": phred, "back": back, "cycle": cycle, "earlier": earlier, "cur": cur, "prev": np.where(cycle == 0, 4, np.where(cur[earlier] < 4, cur[earlier], 9)), "second": np.repeat(f & LAST > 0, n).astype(np.int64)}
 
 
 def _place(group, phred, cycles, cycle, second, prev, cur):
@@ -177,12 +181,12 @@ def covariates(reads: DataFrame, ref: DataFrame, *, sites: DataFrame | None = No
 def _offsets(cigar: str | None, n: int) -> np.ndarray:
     """Of each of a read's n bases the offset from the alignment's start, -1 where it isn't aligned."""
     out, at = [np.zeros(0, np.int64)], 0
-    for size, op in re.findall(cg.PATTERN, cigar or "*"):
-        if op in cg.MATCH_OPS:
+    for size, op in re.findall(PATTERN, cigar or "*"):
+        if op in MATCH_OPS:
             out.append(np.arange(at, at + int(size)))
         elif op in "IS":
             out.append(np.full(int(size), -1))
-        if op in cg.REF_OPS:
+        if op in REF_OPS:
             at += int(size)
     got = np.concatenate(out)[:n]
     return np.concatenate([got, np.full(n - len(got), -1)]).astype(np.int64)
@@ -229,7 +233,7 @@ def apply(reads: DataFrame, cells: DataFrame, *, max_quality: int = MAX_QUALITY,
         ok = (x["cur"] < 4) & (x["prev"] < 5) & (x["cycle"] < cycles) & (phred >= max(min_quality, 0)) & (phred < 94) & (group >= 0)
         at = np.where(ok, _place(group, phred, cycles, x["cycle"], x["second"], x["prev"], x["cur"]), 0)
         new = np.where(ok, held.value[at], -1)
-        text = np.where(new >= 0, new, phred).astype(np.uint8) + np.uint8(bs.OFFSET)
+        text = np.where(new >= 0, new, phred).astype(np.uint8) + np.uint8(OFFSET)
         ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes()))
 
