@@ -94,6 +94,40 @@ def base_at(cigar: Column, seq: Column, pos0: Column, at: Column | int) -> Colum
     return F.when(place > 0, F.substring(seq, place.cast("int"), F.lit(1)))
 
 
+def op_at(cigar: Column, index: Column) -> Column:
+    """The operation that gives a read's base of this 0-based index, null outside."""
+    own = F.filter(ops(cigar), lambda o: o["op"].isin(*QUERY_OPS))
+    step = lambda a, o: F.struct(
+        (a["q"] + o["len"]).alias("q"),
+        F.when(a["op"].isNull() & (index >= a["q"]) & (index < a["q"] + o["len"]), o["op"]).otherwise(a["op"]).alias("op"),
+    )
+    return F.aggregate(own, F.struct(F.lit(0).alias("q"), F.lit(None).cast("string").alias("op")), step)["op"]
+
+
+def md(cigar: Column, seq: Column, ref: Column) -> Column:
+    """The MD text of an alignment: ``ref`` has the reference bases that it spans. Null where the cigar has skips.
+
+    Runs of equal bases are counted; another reference base stands for itself, deleted ones follow a '^'.
+    """
+    step = lambda a, q: F.struct(
+        (a["at"] + 1).alias("at"),
+        F.when(q < 0, 0).when(_same(seq, ref, q, a["at"]), a["n"] + 1).otherwise(0).alias("n"),
+        F.when((q >= 0) & _same(seq, ref, q, a["at"]), a["out"])
+        .when(q >= 0, F.concat(a["out"], a["n"].cast("string"), F.upper(F.substring(ref, a["at"] + 1, F.lit(1)))))
+        .otherwise(F.concat(a["out"], F.when(a["gap"], "").otherwise(F.concat(a["n"].cast("string"), F.lit("^"))), F.upper(F.substring(ref, a["at"] + 1, F.lit(1)))))
+        .alias("out"),
+        (q < 0).alias("gap"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("out"), F.lit(False).alias("gap"))
+    done = F.aggregate(query_indices(cigar), start, step)
+    return F.when(~cigar.contains("N") & (cigar != "*") & (seq != "*"), F.concat(done["out"], done["n"].cast("string")))
+
+
+def _same(seq: Column, ref: Column, q: Column, at: Column) -> Column:
+    base = F.upper(F.substring(seq, q + 1, F.lit(1)))
+    return (base == "=") | (base == F.upper(F.substring(ref, at + 1, F.lit(1))))
+
+
 def whole_clip_column(cigar: Column) -> Column:
     hard = lambda p: F.regexp_extract(cigar, p, 1)
     return F.concat(hard("^([0-9]+H)"), query_length(cigar).cast("string"), F.lit("S"), hard("[^0-9]([0-9]+H)$"))

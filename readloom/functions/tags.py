@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 TYPE = "map<string,struct<t:string,v:string>>"
 
 
+#: A tag as text; an empty field isn't one.
+FORM = "^[A-Za-z][A-Za-z0-9]:[AifZBH]:"
+
+
+def well_formed(field: Column) -> Column:
+    """A tag, or nothing at all."""
+    return (field == "") | field.rlike(FORM)
+
+
 def parse(fields: Column) -> Column:
     """From an array of 'NM:t:value' texts. A repeated tag keeps its last value; A and i of one name are one class."""
     one = lambda f: F.struct(
         F.concat_ws(":", F.substring(f, 1, 2), F.when(F.substring(f, 4, 1) == "A", "i").otherwise(F.substring(f, 4, 1))).alias("key"),
         F.struct(F.substring(f, 4, 1).alias("t"), F.substring(f, F.lit(6), F.length(f)).alias("v")).alias("value"),
     )
-    entries = F.transform(F.filter(fields, lambda f: f.rlike("^[A-Za-z][A-Za-z0-9]:[AifZBH]:")), one)
+    entries = F.transform(F.filter(fields, lambda f: f.rlike(FORM)), one)
     # The last of equal keys stays, where the first stood.
     last = F.filter(entries, lambda e, i: F.size(F.filter(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])) == 0)
     return F.map_from_entries(last)

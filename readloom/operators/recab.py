@@ -287,11 +287,20 @@ def logistic_fit(cells: DataFrame, rounds: int = 30, tolerance: float = 1e-6) ->
     return {"weights": w.tolist(), "covariance": np.linalg.inv(info).tolist(), "rounds": used}
 
 
-def predicted_quality(weights: list[float]) -> Column:
-    """The regression's quality of a cell."""
+def predicted_quality(weights: list[float], blended: int = 0) -> Column:
+    """The regression's quality of a cell.
+
+    With ``blended`` above 0 (whatever its size) half of the cell's share of mismatches is added to half of the logit times
+    that share, and their sum is the logit of a match. 9999 is refused: what it means isn't defined.
+    """
+    if blended == 9999:
+        raise ValueError("9999 isn't a weight for a blended model")
     code = lambda c: F.instr(F.lit("ACGT" + NONE_BEFORE), F.col(c)) - 1
     x = [F.lit(1.0), F.col("qual"), F.col("cycle"), F.col("second").cast("int"), code("prev"), code("cur")]
-    p = 1 / (1 + F.exp(-sum((c * float(v) for c, v in zip(x, weights, strict=True)), F.lit(0.0))))
+    match = -sum((c * float(v) for c, v in zip(x, weights, strict=True)), F.lit(0.0))
+    if blended > 0:
+        match = F.col("mismatches") / (F.col("matches") + F.col("mismatches")) * (1 + match) / 2
+    p = 1 / (1 + F.exp(match))
     return F.floor(-10 * F.log10(p) + 0.5).cast("int")
 
 

@@ -13,6 +13,32 @@ from ..functions import surgery as sg
 from ..functions import tags as tg
 
 REVERSE = lambda: fl.has(F.col("flag"), fl.REVERSE)
+#: Reference bases of a chunk, at least.
+CHUNK = 1024
+
+
+def with_reference(reads: DataFrame, ref: DataFrame, into: str = "_ref") -> DataFrame:
+    """``reads`` with the reference bases that each one spans, null where it lies on no sequence of ``ref`` (ref_id, bases).
+
+    Sequences are cut into chunks that are as long as the longest span (found by a pass over the reads) and overlap by it, so
+    a read meets one chunk by (ref_id, chunk) and no row carries a whole sequence.
+    """
+    span = cg.ref_span(F.col("cigar"))
+    reach = reads.agg(F.max(span)).first()[0] or 1
+    length = max(CHUNK, 1 << (reach - 1).bit_length())
+    pieces = ref.select("ref_id", F.regexp_extract_all(F.col("bases"), F.lit(f"(?s).{{1,{length}}}"), F.lit(0)).alias("_p"))
+    longer = F.transform("_p", lambda c, i: F.concat(c, F.coalesce(F.substring(F.get("_p", i + 1), 1, reach), F.lit(""))))
+    chunks = pieces.select("ref_id", F.posexplode(longer).alias("_chunk", into))
+    at = (F.col("pos0") - F.col("_chunk") * length + 1).cast("int")
+    met = reads.withColumn("_chunk", F.floor(F.col("pos0") / length).cast("int")).join(chunks, ["ref_id", "_chunk"], "left")
+    return met.withColumn(into, F.substring(F.col(into), at, span)).select(*reads.columns, into)
+
+
+def swap_bases(reads: DataFrame, ref: DataFrame, *, equals: bool) -> DataFrame:
+    """Bases equal to the reference's become '=' (``equals``), or '=' becomes them; reads off the reference stay."""
+    change = (bs.use_equals if equals else bs.use_bases)(F.col("seq"), F.col("_ref"), cg.ref_offsets(F.col("cigar")))
+    fits = F.col("_ref").isNotNull() & (F.col("seq") != "*") & (F.col("cigar") != "*")
+    return with_reference(reads, ref).withColumn("seq", F.when(fits, change).otherwise(F.col("seq"))).select(*reads.columns)
 
 
 def trim(reads: DataFrame, left: int, right: int, *, ignore_strand: bool = False) -> DataFrame:
@@ -73,11 +99,10 @@ def unmap(reads: DataFrame, condition) -> DataFrame:
     return reads.withColumns({"cigar": F.when(condition, "*").otherwise(F.col("cigar")), "flag": F.when(condition, fl.with_bits(F.col("flag"), fl.UNMAPPED)).otherwise(F.col("flag"))})
 
 
-def filter_mismatches(reads: DataFrame, ref: DataFrame, *, threshold: float = 0.1, quality_threshold: int = 60, default_quality: int = 20) -> DataFrame:
-    """Clip ends with too many mismatches, then unmap what is clipped whole or mismatches with too much quality.
+def mismatch_ends(reads: DataFrame, ref: DataFrame, *, threshold: float = 0.1, default_quality: int = 20) -> DataFrame:
+    """``reads`` with _j: the query bases to clip at the front and the back for their mismatches, and the mismatches' summed quality in between.
 
-    ``ref``: ref_id, bases (the whole sequence). References are few and joined by id; only the stretch that a read covers
-    goes to the Arrow function.
+    ``ref``: ref_id, bases (the whole sequence); only the stretch that a read covers goes to the Arrow function.
     """
     @F.pandas_udf("front int, back int, loss int")
     def judge(c: pd.Series, s: pd.Series, r: pd.Series, q: pd.Series) -> pd.DataFrame:
@@ -98,8 +123,12 @@ def filter_mismatches(reads: DataFrame, ref: DataFrame, *, threshold: float = 0.
             rows.append((front, back, loss))
         return pd.DataFrame(rows, columns=["front", "back", "loss"], dtype="int32")
 
-    part = F.substring(F.col("bases"), F.col("pos0") + 1, cg.ref_span(F.col("cigar")))
-    r = reads.join(ref.select("ref_id", "bases"), "ref_id", "left").withColumn("_j", judge("cigar", "seq", F.coalesce(part, F.lit("")), "qual")).drop("bases")
+    return with_reference(reads, ref).withColumn("_j", judge("cigar", "seq", F.coalesce("_ref", F.lit("")), "qual")).drop("_ref")
+
+
+def filter_mismatches(reads: DataFrame, ref: DataFrame, *, threshold: float = 0.1, quality_threshold: int = 60, default_quality: int = 20) -> DataFrame:
+    """Clip ends with too many mismatches, then unmap what is clipped whole or mismatches with too much quality."""
+    r = mismatch_ends(reads, ref, threshold=threshold, default_quality=default_quality)
     whole = F.col("_j.front") + F.col("_j.back") >= F.length("seq")
     clipped = cg.soft_clip_udf(F.col("cigar"), F.col("pos0"), F.col("_j.front"), F.col("_j.back"))
     touched = ~whole & (F.col("_j.front") + F.col("_j.back") > 0)

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import flags as fl
+from ..functions import tags as tg
+from . import rewrite
+
+#: Places of the numbers among a line's columns.
+NUMBERS = (1, 3, 4, 7, 8)
 
 
 def rules(n_refs: int | None = None) -> dict[str, Column]:
@@ -27,12 +32,36 @@ def rules(n_refs: int | None = None) -> dict[str, Column]:
     return {k: F.coalesce(v, F.lit(True)) for k, v in out.items()}
 
 
+def faults() -> dict[str, Column]:
+    """Error name and condition of a line that isn't a record; its text is in _corrupt_record."""
+    p = F.split("_corrupt_record", "\t")
+    whole = F.size(p) >= 11
+    bad_number = lambda i: p[i].try_cast("int").isNull()
+    numbers = bad_number(NUMBERS[0])
+    for i in NUMBERS[1:]:
+        numbers = numbers | bad_number(i)
+    tags = F.exists(F.slice(p, 12, 10000), lambda x: ~tg.well_formed(x))
+    return {"TOO_FEW_COLUMNS": ~whole, "NOT_AN_INTEGER": whole & numbers, "INVALID_TAG_FORMAT": (F.size(p) > 11) & tags}
+
+
 def errors(reads: DataFrame, n_refs: int | None = None) -> DataFrame:
-    """rec_idx, error: one row for each rule that a record breaks."""
-    found = F.array_compact(F.array(*[F.when(c, name) for name, c in rules(n_refs).items()]))
+    """rec_idx, error: one row for each rule that a record breaks, or for each fault of a line that isn't a record."""
+    named = lambda d: F.array_compact(F.array(*[F.when(c, name) for name, c in d.items()]))
+    found = named(rules(n_refs))
+    if "_corrupt_record" in reads.columns:
+        found = F.when(F.col("_corrupt_record").isNotNull(), named(faults())).otherwise(found)
     return reads.select("rec_idx", F.explode(found).alias("error"))
 
 
+def md_errors(reads: DataFrame, ref: DataFrame) -> DataFrame:
+    """rec_idx, error: mapped records whose MD tag isn't what the reference (ref_id, bases) says. Cigars with skips aren't judged."""
+    own = reads.filter(tg.value(F.col("tags"), "MD").isNotNull() & ~fl.has(F.col("flag"), fl.UNMAPPED))
+    own = own.filter(cg.query_length(F.col("cigar")) == F.length("seq"))
+    met = rewrite.with_reference(own, ref)
+    wrong = F.upper(tg.value(F.col("tags"), "MD")) != cg.md(F.col("cigar"), F.col("seq"), F.col("_ref"))
+    return met.filter(wrong).select("rec_idx", F.lit("INVALID_MD").alias("error"))
+
+
 def error_counts(reads: DataFrame, n_refs: int | None = None) -> DataFrame:
     return errors(reads, n_refs).groupBy("error").agg(F.count(F.lit(1)).alias("n_errors"))
 

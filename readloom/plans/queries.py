@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import flags as fl
+from ..functions import tags as tg
 from ..operators import dedup, diff, intervals, mates, merge, ordering, overlap, pileup, recab, rewrite, split, stats, validate
 from ..sources import sam
 from ..streaming import batch as events_batch
@@ -169,7 +170,23 @@ def overlap_stats(spark, d):
     return overlap.statistics(reads(spark, d))
 
 
-@query()
+# How pairs whose starts are 12 apart are cut, by cigar: bases before the second start in the first read, bases of the second up
+# to the first's end; the first cut at its tail, the second at its head (and how far that moves it); then, for reads that point
+# the wrong way, the second's tail and the first's head cut.
+CUTS = """cuts(cigar, tail, head, tail1, head2, moved, tail2, head1) AS (VALUES ('20M', 12, 8, '12M8S', '8S12M', 8, '8M12S', '12S8M'), ('3S17M', 15, 8, '3S12M5S', '8S12M', 5, '3S5M12S', '15S5M'),
+ ('10M2D10M', 10, 10, '10M10S', '10S10M', 12, '10M10S', '10S10M'), ('8M1I11M', 13, 7, '8M1I4M7S', '7S1M1I11M', 7, '7M13S', '13S7M'))"""
+MEAN = "list_sum(list_transform(string_split({part}, ''), lambda c: ascii(c))) / {n}"
+OVERLAPS = f"""el AS (SELECT *, flag & 16 > 0 AS rev FROM r WHERE flag & 3852 = 0),
+p0 AS (SELECT a.rec_idx AS i1, b.rec_idx AS i2, a.pos0 AS p1, b.pos0 AS p2, a.qual AS q1, b.qual AS q2, CASE WHEN a.pos0 = b.pos0 THEN 'same' WHEN a.rev AND NOT b.rev THEN 'wrong' ELSE 'right' END AS kind, c.*
+  FROM el a JOIN el b ON a.read_name = b.read_name AND a.rec_idx <> b.rec_idx AND (a.pos0 < b.pos0 OR (a.pos0 = b.pos0 AND a.rec_idx < b.rec_idx)) AND b.pos0 <= a.end0 JOIN cuts c ON a.cigar = c.cigar),
+p1 AS (SELECT *, CASE WHEN kind = 'same' THEN {MEAN.format(part='q1', n=20)} <= {MEAN.format(part='q2', n=20)} ELSE {MEAN.format(part='substr(q1, tail + 1)', n='(20 - tail)')} <= {MEAN.format(part='substr(q2, 1, head)', n='head')} END AS lost1 FROM p0),
+p2 AS (SELECT *, CASE WHEN kind = 'right' THEN CASE WHEN lost1 THEN tail1 ELSE cigar END WHEN lost1 THEN '20S' WHEN kind = 'wrong' THEN head1 ELSE cigar END AS c1, CASE WHEN kind = 'wrong' AND NOT lost1 THEN p1 + 12 ELSE p1 END AS n1,
+  CASE WHEN kind = 'right' THEN CASE WHEN lost1 THEN cigar ELSE head2 END WHEN NOT lost1 THEN '20S' WHEN kind = 'wrong' THEN tail2 ELSE cigar END AS c2, CASE WHEN kind = 'right' AND NOT lost1 THEN p2 + moved ELSE p2 END AS n2 FROM p1),
+new AS (SELECT i1 AS rec_idx, c1 AS c, n1 AS p, n2 AS m FROM p2 UNION ALL SELECT i2, c2, n2, n1 FROM p2)"""
+
+
+@query(sql("""SELECT r.rec_idx, r.flag, CAST(coalesce(n.p, r.pos0) AS INTEGER) AS pos0, CAST(coalesce(n.m, r.mate_pos0) AS INTEGER) AS mate_pos0, CASE WHEN n.c IS NOT NULL THEN n.c
+ WHEN r.flag & 3852 = 0 AND ((r.pos0 < r.mate_pos0 AND r.end0 < r.mate_pos0 AND r.flag & 48 = 16) OR (r.pos0 > r.mate_pos0 AND r.flag & 48 = 32)) THEN '20S' ELSE r.cigar END AS cigar FROM r LEFT JOIN new n ON r.rec_idx = n.rec_idx""", CUTS, OVERLAPS))
 def overlap_clip(spark, d):
     return overlap.clip(reads(spark, d)).select("rec_idx", "flag", "pos0", "mate_pos0", "cigar")
 
@@ -477,8 +494,6 @@ def base_at_position(spark, d):
 @query(sql("SELECT rec_idx, read_name, flag, concat('chr', CAST(ref_id AS VARCHAR)) AS ref_name, pos0, mapq, cigar, concat('chr', CAST(mate_ref_id AS VARCHAR)) AS mate_ref_name, mate_pos0, seq, qual, rg FROM r"))
 def sam_round_trip(spark, d):
     """Records as SAM text and parsed again."""
-    from ..functions import tags as tg
-
     r = reads(spark, d)
     name = lambda c: F.concat(F.lit("chr"), F.col(c).cast("string"))
     full = r.select("*", name("ref_id").alias("ref_name"), name("mate_ref_id").alias("mate_ref_name"), F.lit(0).alias("insert_size"), tg.put(F.create_map().cast(tg.TYPE), "RG", "Z", F.col("rg")).alias("tags"))
@@ -487,6 +502,129 @@ def sam_round_trip(spark, d):
     return back.select("rec_idx", "read_name", "flag", "ref_name", "pos0", "mapq", "cigar", "mate_ref_name", "mate_pos0", "seq", "qual", tg.value(F.col("tags"), "RG").alias("rg"))
 
 
+# Bases with the reference base under them: i is the place in the read (from 1), rp the reference position.
+PLACED = f"""s0 AS (SELECT *, CAST(unnest(range(1, 21)) AS INTEGER) AS i FROM r),
+s1 AS (SELECT *, pos0 + CASE cigar WHEN '20M' THEN i - 1 WHEN '3S17M' THEN CASE WHEN i > 3 THEN i - 4 END WHEN '10M2D10M' THEN CASE WHEN i <= 10 THEN i - 1 ELSE i + 1 END ELSE CASE WHEN i <= 8 THEN i - 1 WHEN i > 9 THEN i - 2 END END AS rp, substr(seq, i, 1) AS ch FROM s0),
+s2 AS (SELECT *, {SQL_BASE.format(pos="rp", ref="ref_id")} AS base FROM s1)"""
+
+
+def _sequences(spark):
+    i = F.sequence(F.lit(0), F.lit(1999))
+    return spark.range(5).select(F.col("id").cast("int").alias("ref_id"), F.array_join(F.transform(i, lambda x: ref_base(F.col("id"), x)), "").alias("bases"))
+
+
+@query(sql("SELECT rec_idx, string_agg(CASE WHEN ch = base THEN '=' ELSE ch END, '' ORDER BY i) AS seq FROM s2 GROUP BY rec_idx", PLACED))
+def bases_to_equals(spark, d):
+    return rewrite.swap_bases(reads(spark, d), _sequences(spark), equals=True).select("rec_idx", "seq")
+
+
+@query(sql("SELECT rec_idx, seq FROM r"))
+def equals_to_bases(spark, d):
+    """There and back again."""
+    ref = _sequences(spark)
+    return rewrite.swap_bases(rewrite.swap_bases(reads(spark, d), ref, equals=True), ref, equals=False).select("rec_idx", "seq")
+
+
+ENDS = """s3 AS (SELECT rec_idx, i, ch <> base AS bad, ascii(substr(qual, i, 1)) - 33 AS q FROM s2 WHERE rp IS NOT NULL),
+s4 AS (SELECT *, row_number() OVER f AS kf, count(*) FILTER (WHERE bad) OVER f AS bf, row_number() OVER b AS kb, count(*) FILTER (WHERE bad) OVER b AS bb, count(*) OVER (PARTITION BY rec_idx) AS n FROM s3 WINDOW f AS (PARTITION BY rec_idx ORDER BY i), b AS (PARTITION BY rec_idx ORDER BY i DESC)),
+s5 AS (SELECT rec_idx, coalesce(max(i) FILTER (WHERE bad AND kf <= (n + 1) // 2 AND bf / kf > 0.8), 0) AS x, coalesce(max(21 - i) FILTER (WHERE bad AND kb <= (n + 1) // 2 AND bb / kb > 0.8), 0) AS y FROM s4 GROUP BY rec_idx),
+s6 AS (SELECT rec_idx, CASE WHEN x + y >= 20 THEN 20 ELSE x END AS x, CASE WHEN x + y >= 20 THEN 0 ELSE y END AS y FROM s5)"""
+
+
+@query(sql("SELECT s6.rec_idx, CAST(x AS INTEGER) AS front, CAST(y AS INTEGER) AS back, CAST(coalesce(sum(q) FILTER (WHERE bad AND i > x AND i <= 20 - y), 0) AS INTEGER) AS loss FROM s6 JOIN s3 ON s6.rec_idx = s3.rec_idx GROUP BY ALL", PLACED, ENDS))
+def mismatch_ends(spark, d):
+    return rewrite.mismatch_ends(reads(spark, d), _sequences(spark), threshold=0.8).select("rec_idx", "_j.front", "_j.back", "_j.loss")
+
+
+def _tagged(spark, d):
+    """Reads with a tag for their group, and for some of them the tags that keep original values."""
+    n, r = F.col("rec_idx"), reads(spark, d)
+    tags = tg.put(F.create_map().cast(tg.TYPE), "RG", "Z", F.col("rg"))
+    for name, kind, every, value in (("OQ", "Z", 2, F.reverse("qual")), ("OC", "Z", 3, F.lit("5S15M")), ("OP", "i", 5, F.lit("1000")), ("BQ", "Z", 7, F.lit("x")), ("XT", "i", 4, F.lit("9"))):
+        tags = tg.put(tags, name, kind, F.when(n % every == 0, value))
+    return r.withColumn("tags", tags)
+
+
+def _tag_text(*tags):
+    """SQL of tags as text, by name: (name, every, text)."""
+    return "concat_ws(chr(9), " + ", ".join(f"CASE WHEN rec_idx % {every} = 0 THEN {text} END" for _, every, text in sorted(tags)) + ")"
+
+
+RG_TAG, OQ_TAG, OC_TAG = ("RG", 1, "concat('RG:Z:', rg)"), ("OQ", 2, "concat('OQ:Z:', reverse(qual))"), ("OC", 3, "'OC:Z:5S15M'")
+OP_TAG, BQ_TAG, XT_TAG = ("OP", 5, "'OP:i:1000'"), ("BQ", 7, "'BQ:Z:x'"), ("XT", 4, "'XT:i:9'")
+
+
+@query(sql(f"SELECT rec_idx, CASE WHEN rec_idx % 3 = 0 THEN '5S15M' ELSE cigar END AS cigar, CAST(CASE WHEN rec_idx % 5 = 0 THEN 999 ELSE pos0 END AS INTEGER) AS pos0, CASE WHEN rec_idx % 2 = 0 THEN reverse(qual) ELSE qual END AS qual, {_tag_text(RG_TAG, XT_TAG)} AS tag_text FROM r"))
+def revert_originals(spark, d):
+    return rewrite.revert(_tagged(spark, d), remove_bq=True).select("rec_idx", "cigar", "pos0", "qual", tg.text(F.col("tags")).alias("tag_text"))
+
+
+@query(sql(f"SELECT rec_idx, translate(qual, '#%()+-/13579;=?A', '!!!!+++111111111') AS qual, {_tag_text(RG_TAG, OC_TAG, OP_TAG, BQ_TAG)} AS tag_text FROM r WHERE flag & 1024 = 0"))
+def squeeze_records(spark, d):
+    return rewrite.squeeze(_tagged(spark, d), bounds=[10, 16], remove=["XT:i"]).select("rec_idx", "qual", tg.text(F.col("tags")).alias("tag_text"))
+
+
+@query(sql("SELECT rec_idx, concat(CASE WHEN rec_idx % 3 = 0 THEN 'UM' WHEN rec_idx % 3 = 1 THEN 'xseqcore_' ELSE '' END, read_name) AS read_name, 'new' AS rg FROM r"))
+def set_read_group(spark, d):
+    n = F.col("rec_idx") % 3
+    named = _tagged(spark, d).withColumn("read_name", F.concat(F.when(n == 0, "seqcore_").when(n == 1, "xseqcore_").otherwise(""), "read_name"))
+    return rewrite.with_read_group(named, "new").select("rec_idx", "read_name", tg.value(F.col("tags"), "RG").alias("rg"))
+
+
+@query(sql("SELECT rec_idx, rec_idx % 2 <> 0 AS fell_back, CASE WHEN rec_idx % 2 = 0 THEN reverse(qual) ELSE qual END AS qual FROM r"))
+def quality_from_tag(spark, d):
+    return rewrite.quality_from_tag(_tagged(spark, d), "OQ").select("rec_idx", "fell_back", "qual")
+
+
+@query(sql(f"SELECT rec_idx, {_tag_text(('OQ', 1, "concat('OQ:Z:', qual)"), ('OC', 1, "concat('OC:Z:', cigar)"), RG_TAG, OP_TAG, BQ_TAG, XT_TAG)} AS tag_text FROM r"))
+def store_originals(spark, d):
+    kept = rewrite.store_original(rewrite.store_original(_tagged(spark, d), "OC"), "OQ", "qual")
+    return kept.select("rec_idx", tg.text(F.col("tags")).alias("tag_text"))
+
+
+@query(sql("SELECT rec_idx, CASE WHEN mapq < 10 THEN '*' ELSE cigar END AS cigar, CAST(CASE WHEN mapq < 10 THEN flag | 4 ELSE flag END AS INTEGER) AS flag, pos0 FROM r"))
+def unmap_reads(spark, d):
+    return rewrite.unmap(reads(spark, d), F.col("mapq") < 10).select("rec_idx", "cigar", "flag", "pos0")
+
+
+@query(sql("SELECT rec_idx, CASE WHEN mapq > 19 THEN NULL WHEN cigar = '3S17M' AND mapq < 3 THEN 'S' WHEN cigar = '8M1I11M' AND mapq = 8 THEN 'I' ELSE 'M' END AS op FROM r"))
+def cigar_op_at(spark, d):
+    return reads(spark, d).select("rec_idx", cg.op_at(F.col("cigar"), F.col("mapq")).alias("op"))
+
+
+@query(sql("SELECT rec_idx, CASE WHEN mapq > 19 THEN 0.0 ELSE list_avg(list_transform(string_split(substr(qual, mapq + 1, 5), ''), lambda c: ascii(c))) END AS mean_code FROM r"))
+def quality_slice_mean(spark, d):
+    return reads(spark, d).select("rec_idx", bs.quality_mean(F.col("qual"), F.col("mapq"), F.col("mapq") + 4).alias("mean_code"))
+
+
+@query(sql("SELECT rec_idx FROM (SELECT rec_idx, read_name, lag(read_name) OVER (ORDER BY rec_idx) AS before FROM r) WHERE read_name < before"))
+def unsorted_names(spark, d):
+    return validate.unsorted(reads(spark, d), "name")
+
+
+def _dictionary(spark, d):
+    n = table(spark, d, "nation")
+    return sam.header_of(n.select(F.concat(F.lit("@SQ\tSN:"), "n_name", F.lit("\tLN:"), (F.col("n_nationkey") + 100).cast("string")).alias("value"), "n_nationkey"), F.col("n_nationkey"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS ref_id, n_name AS name, CAST(n_nationkey + 100 AS INTEGER) AS length FROM nation")
+def reference_dictionary(spark, d):
+    return sam.references(_dictionary(spark, d))
+
+
+@query("SELECT n_name AS id, concat('lib', n_regionkey) AS library, 's' AS sample, CAST(lib_id AS INTEGER) AS lib_id FROM nation JOIN (SELECT n_regionkey, row_number() OVER (ORDER BY min(n_nationkey)) AS lib_id FROM nation GROUP BY n_regionkey) USING (n_regionkey)")
+def read_group_libraries(spark, d):
+    n = table(spark, d, "nation")
+    return sam.read_groups(sam.header_of(n.select(F.concat(F.lit("@RG\tID:"), "n_name", F.lit("\tLB:lib"), F.col("n_regionkey").cast("string"), F.lit("\tSM:s")).alias("value"), "n_nationkey"), F.col("n_nationkey")))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS line_no, 'SQ' AS type, n_name AS id, concat('@SQ', chr(9), 'SN:', n_name, chr(9), 'LN:', n_nationkey + 100, CASE WHEN n_nationkey % 2 = 0 THEN concat(chr(9), 'M5:', md5(n_name), chr(9), 'AS:x') ELSE '' END) AS raw FROM nation
+UNION ALL SELECT CAST((SELECT count(*) FROM nation) AS INTEGER), 'RG', 'new', concat('@RG', chr(9), 'ID:new', chr(9), 'SM:s') UNION ALL SELECT CAST((SELECT count(*) FROM nation) + 1 AS INTEGER), 'CO', NULL, concat('@CO', chr(9), 'done')""")
+def header_edit(spark, d):
+    known = {r.n_name: (r.n_nationkey + 100, r.md5) for r in table(spark, d, "nation").filter("n_nationkey % 2 = 0").select("n_name", "n_nationkey", F.md5("n_name").alias("md5")).collect()}  # a header's lines
+    return sam.edit_header(_dictionary(spark, d), ["@RG\\tID:new\\tSM:s", "@CO\\tdone"], checks=known, extra={"AS": "x"})
+
+
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > 600000000")
 def event_dedup_window(spark, d):
     return events_batch.first_in_gap(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 600).select("event_id", "user_id", "event_type")

@@ -35,19 +35,76 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
+#: What reading a damaged block or record raises.
+BROKEN = (ValueError, KeyError, IndexError, zlib.error, struct.error)
+START = b"\x1f\x8b\x08\x04"
+
+
+def plausible(data: bytes, at: int, n_refs: int, following: int = 1) -> bool:
+    """A record can start at this place of a block: references, positions and lengths agree, and so they do where the next would start."""
+    if at + 36 > len(data):
+        return False
+    size, ref, pos, name_n, _, _, ops, _, n, mate_ref, mate_pos, _ = struct.unpack_from("<i" + HEAD[1:], data, at)
+    known = -1 <= ref < n_refs and -1 <= mate_ref < n_refs and pos >= -1 and mate_pos >= -1
+    if not (known and name_n > 1 and n >= 0 and 32 + name_n + 4 * ops + (n + 1) // 2 + n <= size < 1 << 24):
+        return False
+    name = data[at + 36 : at + 36 + name_n]
+    if len(name) == name_n and (name[-1] or not all(32 < c < 127 for c in name[:-1])):
+        return False
+    after = at + 4 + size
+    return following == 0 or after + 36 > len(data) or plausible(data, after, n_refs, following - 1)
+
+
 class Blocks:
-    """Reads a BGZF file from a virtual offset (file offset of a block << 16 | offset in its content) on."""
+    """Reads a BGZF file from a virtual offset (file offset of a block << 16 | offset in its content) on.
 
-    def __init__(self, stream, at: int = 0):
+    With ``n_refs`` a damaged start is passed over.
+    """
+
+    def __init__(self, stream, at: int = 0, n_refs: int | None = None):
         self.stream, self.next, self.block, self.data, self.place = stream, at >> 16, at >> 16, b"", 0
         self.size = stream.size()
-        self._fill()
-        self.place = at & 0xFFFF
+        try:
+            self._fill()
+            self.place = at & 0xFFFF
+        except BROKEN:
+            if n_refs is None:
+                raise
+            self.resync(n_refs)
+
+    def resync(self, n_refs: int) -> bool:
+        """Go to the first plausible record of the next whole block; False (and at the end) if there is none."""
+        at = self.next
+        while (at := self._find(at)) is not None:
+            self.next = at
+            try:
+                filled = self._fill()
+            except BROKEN:
+                at += 1
+                continue
+            if not filled:
+                break
+            for place in range(len(self.data)):
+                if plausible(self.data, place, n_refs):
+                    self.place = place
+                    return True
+            at = self.next
+        self.next, self.data, self.place = self.size, b"", 0
+        return False
+
+    def _find(self, at: int) -> int | None:
+        """The next place from ``at`` on where a block may start."""
+        while at < self.size:
+            part = self.stream.read_at(1 << 16, at)
+            if (i := part.find(START)) >= 0:
+                return at + i
+            at += max(len(part) - len(START) + 1, 1)
+        return None
 
     def _fill(self) -> bool:
         while self.next < self.size:
             head = self.stream.read_at(18, self.next)
-            if head[:4] != b"\x1f\x8b\x08\x04":
+            if head[:4] != START:
                 raise ValueError(f"no block of a BAM file at byte {self.next}")
             extra = struct.unpack_from("<H", head, 10)[0]
             fields, n = self.stream.read_at(extra, self.next + 12), 0
@@ -219,9 +276,10 @@ def starts(index: bytes, every: int = 64 << 20) -> list[int]:
     return out
 
 
-def read(spark: SparkSession, path: str, *, index: str | None = None, splits: list[int] | None = None, require_eof: bool = True) -> tuple[DataFrame, str, DataFrame]:
+def read(spark: SparkSession, path: str, *, index: str | None = None, splits: list[int] | None = None, require_eof: bool = True, recover: bool = False) -> tuple[DataFrame, str, DataFrame]:
     """(records, header text, references) of one BAM file.
 
+    With ``recover``, damaged blocks and records are passed over; reading goes on at the next record that looks whole.
     With its index (or virtual offsets of records in ``splits``) the file is read in stretches, each by a task; without, by
     one. rec_idx is a record's virtual offset, so it rises in file order.
     """
@@ -233,14 +291,27 @@ def read(spark: SparkSession, path: str, *, index: str | None = None, splits: li
     cuts = sorted({first, *[s for s in splits or [] if s > first]}) if first >= 0 else []
     parts = [(a, b) for a, b in zip(cuts, [*cuts[1:], 1 << 62], strict=True)]
 
+    n_refs = len(refs) if recover else None
+
+    def step(blocks: Blocks, b: int) -> tuple | None:
+        """The next record, None at the end of the stretch."""
+        while True:
+            try:
+                v = blocks.tell()
+                return None if v is None or v >= b else (v, *decode(blocks.read(struct.unpack("<i", blocks.read(4))[0])))
+            except BROKEN:
+                if n_refs is None:
+                    raise
+                blocks.resync(n_refs)
+
     def run(batches):
         for pdf in batches:
             for a, b in zip(pdf["a"], pdf["b"], strict=True):
                 system, at = _open(path)
                 with system.open_input_file(at) as f:
-                    blocks, rows = Blocks(f, int(a)), []
-                    while (v := blocks.tell()) is not None and v < b:
-                        rows.append((v, *decode(blocks.read(struct.unpack("<i", blocks.read(4))[0]))))
+                    blocks, rows = Blocks(f, int(a), n_refs), []
+                    while (row := step(blocks, int(b))) is not None:
+                        rows.append(row)
                         if len(rows) == 20_000:
                             yield pd.DataFrame(rows, columns=names)
                             rows = []

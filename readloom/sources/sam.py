@@ -16,7 +16,12 @@ FIELDS = ("read_name", "flag", "ref_name", "pos", "mapq", "cigar", "mate_ref", "
 
 def header(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 0), type, id, tags (map), raw. Headers are few lines at the top."""
-    h = spark.read.text(path).filter(F.col("value").startswith("@")).select("value", F.monotonically_increasing_id().alias("_i"))
+    return header_of(spark.read.text(path))
+
+
+def header_of(lines: DataFrame, order: Column | None = None) -> DataFrame:
+    """The header of lines (column value) in the order of the scan or of ``order``."""
+    h = lines.filter(F.col("value").startswith("@")).select("value", (order if order is not None else F.monotonically_increasing_id()).alias("_i"))
     parts = F.split("value", "\t")
     pairs = F.filter(F.slice(parts, 2, 1000), lambda x: F.substring(x, 3, 1) == ":")
     # A repeated key keeps its last value.
@@ -53,6 +58,7 @@ def parse(lines: DataFrame, refs: DataFrame | None = None, *, order: Column | No
     p = F.split("value", "\t")
     number = lambda i: p[i].try_cast("int") if hasattr(Column, "try_cast") else p[i].cast("int")
     ok = (F.size(p) >= 11) & number(1).isNotNull() & number(3).isNotNull() & number(4).isNotNull() & number(7).isNotNull() & number(8).isNotNull()
+    ok = ok & F.forall(F.slice(p, 12, 10000), tg.well_formed)
     pick = lambda c: F.when(F.col("_ok"), c)
     r = body.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("rec_idx", order if order is not None else F.monotonically_increasing_id())
     mate = F.when(p[6] == "=", p[2]).otherwise(p[6])
@@ -78,6 +84,16 @@ def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> tuple[Data
     return r, head
 
 
+def usable(reads: DataFrame, recover: bool) -> DataFrame:
+    """Records without those lines that aren't one; unless ``recover``, such a line is an error."""
+    if "_corrupt_record" not in reads.columns:
+        return reads
+    if recover:
+        return reads.filter("_corrupt_record is null")
+    fault = F.when(F.col("_corrupt_record").isNotNull(), F.raise_error(F.concat(F.lit("not a record (recover leaves it out): "), F.col("_corrupt_record"))))
+    return reads.withColumn("read_name", F.coalesce(fault.cast("string"), F.col("read_name")))
+
+
 def lines(reads: DataFrame) -> DataFrame:
     """rec_idx, value: records as SAM text with tags by name."""
     mate = F.when((F.col("mate_ref_name") == F.col("ref_name")) & (F.col("ref_name") != "*"), "=").otherwise(F.col("mate_ref_name"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bases as bs
 from .functions import cigar as cg
 from .functions import flags as fl
 from .functions import tags as tg
@@ -20,19 +19,20 @@ from .operators import merge as mg
 from .sources import lists, sam
 
 
-def convert(reads: DataFrame, *, lshift: bool = False, useBases: bool = False, useEquals: bool = False, refFile: DataFrame | None = None) -> DataFrame:
-    """Records as they are, with indels shifted left, or bases and '=' swapped against the reference (ref_id, bases)."""
-    out = rewrite.left_shift(reads) if lshift else reads
-    if useBases and useEquals:
-        raise ValueError("useBases and useEquals exclude each other")
+def convert(reads: DataFrame, *, lshift: bool = False, recover: bool = False, useBases: bool = False, useEquals: bool = False, useOrigSeq: bool = False, refFile: DataFrame | None = None) -> DataFrame:
+    """Records as they are, with indels shifted left, or bases and '=' swapped against the reference (ref_id, bases).
+
+    A line that couldn't be read as a record is an error, or is left out with ``recover`` (of BAM files, ``bam.read`` takes
+    recover itself). useOrigSeq keeps bases as they are, which is the default.
+    """
+    if useBases + useEquals + useOrigSeq > 1:
+        raise ValueError("useBases, useEquals and useOrigSeq exclude each other")
+    out = sam.usable(reads, recover)
+    out = rewrite.left_shift(out) if lshift else out
     if useBases or useEquals:
         if refFile is None:
             raise ValueError("a reference is needed")
-        j = out.join(refFile.select("ref_id", "bases"), "ref_id", "left")
-        part = F.substring(F.col("bases"), F.col("pos0") + 1, cg.ref_span(F.col("cigar")))
-        change = (bs.use_bases if useBases else bs.use_equals)(F.col("seq"), part, cg.ref_offsets(F.col("cigar")))
-        fits = F.col("bases").isNotNull() & (F.col("seq") != "*") & (F.col("cigar") != "*")
-        out = j.withColumn("seq", F.when(fits, change).otherwise(F.col("seq"))).select(*reads.columns)
+        out = rewrite.swap_bases(out, refFile, equals=useEquals)
     return out
 
 
@@ -192,17 +192,33 @@ def dedup(reads: DataFrame, *, minQual: int = dd.MIN_QUALITY, oneChrom: bool = F
     return recalibrate(out, **recab) if recab is not None else out
 
 
-dedup_LowMem = dedup
+def dedup_LowMem(reads: DataFrame, *, minQual: int = dd.MIN_QUALITY, oneChrom: bool = False, rmDups: bool = False, force: bool = False, excludeFlags: int = dd.EXCLUDED, library: str | None = None, recab: dict | None = None) -> DataFrame:
+    """Duplicates as in ``dedup``; with ``recab`` only the first read of each fragment key, marked later or not, builds the table."""
+    options = {"min_quality": minQual, "one_chrom": oneChrom, "force": force, "excluded": excludeFlags, "library": library}
+    out = dd.mark(reads, remove=rmDups, **options)
+    if recab is None:
+        return out
+    first = dd.keyed(reads, **options).groupBy("key").agg(F.min("rec_idx").alias("rec_idx")).select("rec_idx")
+    build = reads.withColumn("flag", fl.without_bits(F.col("flag"), fl.DUPLICATE)).join(first, "rec_idx", "left_semi")
+    return recalibrate(out, build=build, **recab)
 
 
-def recalibrate(reads: DataFrame, refFile: DataFrame, *, dbsnp: DataFrame | None = None, minBaseQual: int = rc.MIN_QUALITY, maxBaseQual: int = rc.MAX_QUALITY, fitModel: bool = False, useLogReg: bool = False, keepPrevDbsnp: bool = False, keepPrevNonAdjacent: bool = False, qualField: str | None = None, storeQualTag: str | None = None, buildExcludeFlags: int = rc.EXCLUDED, applyExcludeFlags: int = 0) -> DataFrame:
-    """Records with recalibrated qualities; refFile: ref_id, pos, base. ``rg`` is taken from the RG tag where it isn't a column."""
-    own = rewrite.quality_from_tag(reads, qualField).drop("fell_back") if qualField else reads
-    own = own if "rg" in own.columns else own.withColumn("rg", F.coalesce(tg.value(F.col("tags"), "RG"), F.lit("")))
-    cells = rc.covariates(own, refFile, sites=dbsnp, min_quality=minBaseQual, excluded=buildExcludeFlags, keep_prev_site=keepPrevDbsnp, keep_prev_gap=keepPrevNonAdjacent)
+def recalibrate(reads: DataFrame, refFile: DataFrame, *, build: DataFrame | None = None, blended: int = 0, dbsnp: DataFrame | None = None, minBaseQual: int = rc.MIN_QUALITY, maxBaseQual: int = rc.MAX_QUALITY, fitModel: bool = False, useLogReg: bool = False, keepPrevDbsnp: bool = False, keepPrevNonAdjacent: bool = False, qualField: str | None = None, storeQualTag: str | None = None, buildExcludeFlags: int = rc.EXCLUDED, applyExcludeFlags: int = 0) -> DataFrame:
+    """Records with recalibrated qualities; refFile: ref_id, pos, base. ``rg`` is taken from the RG tag where it isn't a column.
+
+    ``build``: the records that build the table, where not all do. With useLogReg the regression's qualities are taken,
+    ``blended`` or plain; fitModel alone doesn't change the qualities (``recab.logistic_fit`` gives the model).
+    """
+
+    def prepared(r: DataFrame) -> DataFrame:
+        r = rewrite.quality_from_tag(r, qualField).drop("fell_back") if qualField else r
+        return r if "rg" in r.columns else r.withColumn("rg", F.coalesce(tg.value(F.col("tags"), "RG"), F.lit("")))
+
+    own = prepared(reads)
+    cells = rc.covariates(own if build is None else prepared(build), refFile, sites=dbsnp, min_quality=minBaseQual, excluded=buildExcludeFlags, keep_prev_site=keepPrevDbsnp, keep_prev_gap=keepPrevNonAdjacent)
     quality = "q_emp"
-    if fitModel or useLogReg:
-        cells, quality = cells.withColumn("q_model", rc.predicted_quality(rc.logistic_fit(cells)["weights"])), "q_model"
+    if useLogReg:
+        cells, quality = cells.withColumn("q_model", rc.predicted_quality(rc.logistic_fit(cells)["weights"], blended)), "q_model"
     if storeQualTag:
         own = rewrite.store_original(own, storeQualTag, "qual")
     return rc.apply(own, cells, max_quality=maxBaseQual, min_quality=minBaseQual, excluded=applyExcludeFlags, quality=quality).select(*reads.columns)
@@ -211,13 +227,20 @@ def recalibrate(reads: DataFrame, refFile: DataFrame, *, dbsnp: DataFrame | None
 recab = recalibrate
 
 
-def validate(reads: DataFrame, *, refs: int | None = None, so_coord: bool = False, so_query: bool = False, maxErrors: int = -1) -> DataFrame:
-    """rec_idx, error; with a sort order also SORT_ORDER."""
-    if so_coord and so_query:
-        raise ValueError("so_coord and so_query exclude each other")
+def validate(reads: DataFrame, *, refs: int | None = None, refFile: DataFrame | None = None, head: DataFrame | None = None, so_flag: bool = False, so_coord: bool = False, so_query: bool = False, maxErrors: int = -1) -> DataFrame:
+    """rec_idx, error; with a sort order (so_flag: that of the header ``head``) also SORT_ORDER, with ``refFile`` INVALID_MD."""
+    if so_coord + so_query + so_flag > 1:
+        raise ValueError("so_flag, so_coord and so_query exclude each other")
+    if so_flag:
+        if head is None:
+            raise ValueError("so_flag needs the header")
+        order = head.filter("type = 'HD'").select(F.col("tags")["SO"]).first()
+        so_coord, so_query = (bool(order) and order[0] == x for x in ("coordinate", "queryname"))
     found = vd.errors(reads, refs)
+    if refFile is not None:
+        found = found.unionByName(vd.md_errors(reads, refFile))
     if so_coord or so_query:
-        found = found.unionByName(vd.unsorted(reads, "coordinate" if so_coord else "name").withColumn("error", F.lit("SORT_ORDER")))
+        found = found.unionByName(vd.unsorted(sam.usable(reads, True), "coordinate" if so_coord else "name").withColumn("error", F.lit("SORT_ORDER")))
     return found if maxErrors < 0 else found.orderBy("rec_idx", "error").limit(maxErrors)
 
 
