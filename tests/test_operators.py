@@ -113,6 +113,35 @@ def test_intervals_equal_nested_loops(spark, contained):
     assert {x.rec_idx for x in intervals.semi_join(reads, regions, bin_size=37, contained=contained).collect()} == {a for a, _ in want}
 
 
+def ran(node):
+    """The nodes of a plan that has run."""
+    yield node
+    name = node.nodeName()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    for x in below:
+        yield from ran(x)
+
+
+def joined_rows(df):
+    """The most rows that a join of a DataFrame made, after collect()."""
+    return max(n.metrics().apply("numOutputRows").value() for n in ran(df._jdf.queryExecution().executedPlan()) if n.nodeName().endswith("Join"))
+
+
+@pytest.mark.parametrize("contained", [False, True])
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_semi_join_makes_no_pairs(spark, monkeypatch, contained, few):
+    monkeypatch.setattr(intervals, "FEW", few)
+    rng = random.Random(7)
+    r = [(i, rng.randrange(2), s := rng.randrange(1000), s + rng.randrange(1, 200)) for i in range(300)]
+    spans = [(rng.randrange(2), s := rng.randrange(1000), s + rng.randrange(0, 300)) for _ in range(12)]
+    reads = spark.createDataFrame(r, "rec_idx int, ref_id int, pos0 int, end0 int")
+    regions = spark.createDataFrame([(i, *g) for i, g in enumerate(spans * 50)], "region_no int, ref_id int, start0 int, end0_excl int")
+    got = intervals.semi_join(reads, regions, contained=contained)
+    want = [a for a in r if any(a[1] == f and e > s and ((a[2] >= s and a[3] < e) if contained else (a[2] < e and a[3] >= s)) for f, s, e in spans)]
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert joined_rows(got) <= len(r)
+
+
 def test_row_numbers_and_runs(spark):
     rng = random.Random(4)
     v = [(rng.randrange(1000), rng.randrange(5)) for _ in range(500)]
