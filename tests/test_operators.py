@@ -142,6 +142,24 @@ def test_semi_join_makes_no_pairs(spark, monkeypatch, contained, few):
     assert joined_rows(got) <= len(r)
 
 
+@pytest.mark.parametrize("contained", [False, True])
+@pytest.mark.parametrize("columns", [["region_no"], ["region_no", "name"], []])
+def test_equal_regions_meet_a_read_once(spark, monkeypatch, contained, columns):
+    monkeypatch.setattr(intervals, "MEMBERS", 20)
+    rng = random.Random(8)
+    r = [(i, rng.randrange(2), s := rng.randrange(1000), s + rng.randrange(1, 200)) for i in range(200)]
+    spans = [(rng.randrange(2), s := rng.randrange(1000), s + rng.randrange(0, 300)) for _ in range(8)]
+    g = [(i if i % 7 else None, *x, f"n{i // 3}") for i, x in enumerate(spans * 50 + spans[:3])]
+    reads = spark.createDataFrame(r, "rec_idx int, ref_id int, pos0 int, end0 int")
+    regions = spark.createDataFrame(g, "region_no int, ref_id int, start0 int, end0_excl int, name string").select(*columns, "end0_excl", "start0", "ref_id")
+    got = intervals.overlap_join(reads, regions, contained=contained)
+    assert got.columns == [*reads.columns, *columns, "end0_excl", "start0"]
+    pairs = [(a, dict(zip(("region_no", "ref_id", "start0", "end0_excl", "name"), b, strict=True))) for a in r for b in g if a[1] == b[1] and b[3] > b[2] and ((a[2] >= b[2] and a[3] < b[3]) if contained else (a[2] < b[3] and a[3] >= b[2]))]
+    want = sorted(str((*a, *[b[c] for c in columns], b["end0_excl"], b["start0"])) for a, b in pairs)
+    assert sorted(str(tuple(x)) for x in got.collect()) == want and want
+    assert joined_rows(got) <= len(want) // 15
+
+
 def test_row_numbers_and_runs(spark):
     rng = random.Random(4)
     v = [(rng.randrange(1000), rng.randrange(5)) for _ in range(500)]
