@@ -160,6 +160,21 @@ def test_equal_regions_meet_a_read_once(spark, monkeypatch, contained, columns):
     assert joined_rows(got) <= len(want) // 15
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_reads_are_not_shuffled_to_few_regions(spark, monkeypatch, few):
+    monkeypatch.setattr(intervals, "FEW", few)
+    reads = spark.range(1000).selectExpr("id AS rec_idx", "CAST(id % 3 AS int) AS ref_id", "CAST(id AS int) AS pos0", "CAST(id + id % 150 AS int) AS end0")
+    regions = spark.range(200).selectExpr("id AS region_no", "CAST(id % 4 AS int) AS ref_id", "CAST(id % 9 * 100 AS int) AS start0", "CAST(id % 9 * 100 + 70 AS int) AS end0_excl")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = intervals.overlap_join(reads, regions)
+        pairs = sorted((x.rec_idx, x.region_no) for x in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert pairs == [(a, b) for a in range(1000) for b in range(200) if a % 3 == b % 4 and a < b % 9 * 100 + 70 and a + a % 150 >= b % 9 * 100]
+    assert {n.nodeName() for n in ran(got._jdf.queryExecution().executedPlan()) if n.nodeName().endswith("Join")} == {"BroadcastHashJoin" if few else "SortMergeJoin"}
+
+
 def test_row_numbers_and_runs(spark):
     rng = random.Random(4)
     v = [(rng.randrange(1000), rng.randrange(5)) for _ in range(500)]
